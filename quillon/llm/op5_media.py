@@ -163,7 +163,8 @@ def inspect(df: DataFrame, *, data_col: str = "data", declared_col: str | None =
     df = df.drop("media_type", "corrected", "carved")
     at = df.columns.index(data_col)
     declared_at = df.columns.index(declared_col) if declared_col else None
-    schema = T.StructType([*df.schema.fields]).add("media_type", "string").add("corrected", "boolean").add("carved", "array<struct<type:string,start:bigint,end:bigint,data:binary>>")
+    carving = T.StructType([T.StructField("type", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("data", T.BinaryType())])
+    schema = T.StructType([*df.schema.fields, T.StructField("media_type", T.StringType()), T.StructField("corrected", T.BooleanType()), T.StructField("carved", T.ArrayType(carving))])
     struct_type = pa.struct([("type", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -151,6 +151,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
 
 
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the pieces of every document, with their ids, by sequence and offset."""
+    return pack(docs)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of the table, packed into sequences of at most 1024 tokens."""
     return pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")

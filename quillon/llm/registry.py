@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from quillon.llm.op1_language import op1_language
+from quillon.llm.op2_pii import op2_pii
 from quillon.llm.op3_bpe import op3_bpe
 from quillon.llm.op5_media import op5_media
 from quillon.llm.op6_sharding import op6_sharding
+from quillon.llm.op7_jaccard import op7_jaccard
 from quillon.llm.op8_packing import op8_packing
+from quillon.llm.op9_substrings import op9_substrings
 from quillon.llm.op10_secrets import op10_secrets
 
-QUERIES = {f.__name__: f for f in (op1_language, op3_bpe, op5_media, op6_sharding, op8_packing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_pii, op3_bpe, op5_media, op6_sharding, op7_jaccard, op8_packing, op9_substrings, op10_secrets)}
 ORACLES: dict[str, str] = {}
