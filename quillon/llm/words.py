@@ -17,6 +17,8 @@ _LOWER[65:91] = _BYTE[97:123]
 _KEYS = _RANDOM.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
+#: Gaps of search terms: every ASCII character but letters, digits and the low line.
+TERM_GAP = np.array([b < 128 and not (chr(b).isalnum() or b == 95) for b in range(256)])
 _STEP = 1 << 20
 _P = 0x9E3779B97F4A7C15
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -54,8 +56,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)), bounds
 
 
-def hashed(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes of all texts, index of each text's first word and one past the last's); `lower` folds A-Z."""
+def hashed(data: np.ndarray, bounds: np.ndarray, lower: bool = False, gap: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes of all texts, index of each text's first word and one past the last's); `lower` folds A-Z, `gap` tells bytes between words."""
     table = _LOWER if lower else _BYTE
     hashes, starts = [], []
     at, end = int(bounds[0]), int(bounds[-1])
@@ -65,14 +67,14 @@ def hashed(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> tuple[n
             k = int(np.searchsorted(bounds, to, "right")) - 1
             if bounds[k] > at:
                 to = int(bounds[k])
-            elif len(gaps := np.flatnonzero(_GAP[data[at:to]])):
+            elif len(gaps := np.flatnonzero(gap[data[at:to]])):
                 to = at + int(gaps[-1]) + 1
             else:
                 stop = int(bounds[k + 1])
-                while to < stop and not _GAP[data[to]]:
+                while to < stop and not gap[data[to]]:
                     to += 1
         b = data[at:to]
-        word = ~_GAP[b]
+        word = ~gap[b]
         cut = bounds[np.searchsorted(bounds, at, "right") : np.searchsorted(bounds, to, "left")] - at
         before = np.concatenate(([False], word[:-1]))
         after = np.concatenate((word[1:], [False]))
