@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,15 +13,18 @@ from quillon.llm.components import components
 from quillon.llm.words import hashed, mixed, runs, text_bytes
 from quillon.session import table, written
 
-#: Counters of the sketch of shingle frequencies (8 MB) and bits of the filter of candidate classes (8 MB): fixed
-#: sizes, whatever the corpus. A crowded sketch or filter costs candidates or bytes, never a link.
-SKETCH_BITS, FILTER_BITS = 22, 26
+#: Fixed sizes, whatever the corpus: bits that tell shingles of more than one class (16 MB), cells that tell how
+#: frequent the frequent ones are (4 MB), bits that tell candidate classes (8 MB). A crowded filter costs
+#: candidates or bytes, never a link.
+SHARED_BITS, COMMON_BITS, FILTER_BITS = 27, 22, 26
+#: From how many occurrences a shingle has its frequency kept.
+COMMON = 8
 #: Most matches that a document may ask for, and the cost of a verification in units of a posting.
 MOST, VERIFY = 4, 20.0
 #: Longer lists of a shingle are joined by way of leaders.
 LONG = 16
-_SLICES = 64
-_POST = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("ask", "<i4")])
+_POST = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<i4"), ("own", "<i4"), ("pos", "<i4"), ("ask", "<i4")])
+_SEEN = np.dtype([("doc_id", "<i8"), ("known", "<i8"), ("cls", "<i8"), ("n", "<i8")])
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -38,138 +40,166 @@ def class_of(s: np.ndarray) -> int:
     return int(mixed(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64))[0] >> np.uint64(1)) | 1 if len(s) else 0
 
 
-def _measured(docs: DataFrame, shingle: int) -> DataFrame:
-    """Rows (doc_id, cls, n) of all documents and, beside them, slices of each task's sketch of shingle counts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+def _counted(texts: DataFrame, shingle: int, shards: int) -> tuple[bytes, bytes]:
+    """(bitmap of the shingles that occur more than once, log2 of the frequency of common ones), by leading bits.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.uint32)
+    Every shingle of every batch's distinct sets is counted exactly but for its trailing bits: 32 and as many as
+    number the shards are kept, and a shard is a range of them. Bits are set for too many shingles, never too few.
+    """
+    width = 32 + max(0, shards.bit_length() - 1)
+    edges = [-(-(k << width) // shards) for k in range(shards + 1)]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, n, distinct = [], [], {}
-            for s in shingle_sets(batch.column("text"), shingle):
-                cls.append(class_of(s))
-                n.append(len(s))
-                distinct[cls[-1]] = s
-            if not n:
-                continue
-            tokens = np.concatenate(list(distinct.values()))
-            total += np.bincount((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
-            none = [None] * len(n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=schema)
-        if total.any():
-            parts = [zlib.compress(np.minimum(x, 65535).astype(np.uint16).tobytes(), 1) for x in np.split(total, _SLICES)]
-            none = [None] * _SLICES
-            yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64())] * 3 + [pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
-
-    return docs.mapInArrow(run, "doc_id long, cls long, n long, slice int, counts binary")
-
-
-def _sketch(slices: DataFrame) -> np.ndarray:
-    """The tasks' counts added up."""
+            distinct = {class_of(s): s for s in shingle_sets(batch.column("text"), shingle)}
+            tokens = np.concatenate(list(distinct.values())) if distinct else np.empty(0, np.uint64)
+            values, n = np.unique(tokens >> np.uint64(64 - width), return_counts=True)
+            cut = [0, *np.searchsorted(values, np.array(edges[1:-1], np.uint64)).tolist(), len(values)]
+            rows = []
+            for k, (a, b) in enumerate(zip(cut, cut[1:])):
+                if a < b:
+                    v, m = (values[a:b] - np.uint64(edges[k])).astype(np.uint32), n[a:b]
+                    rows.append((k, v[m == 1].tobytes(), v[m > 1].tobytes(), m[m > 1].astype(np.uint32).tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "once", "more", "times"])
 
     def add(t: pa.Table) -> pa.Table:
-        total = np.zeros((1 << SKETCH_BITS) // _SLICES, np.uint32)
-        for x in t.column("counts").to_pylist():
-            total += np.frombuffer(zlib.decompress(x), np.uint16)
-        return pa.table({"slice": t.column("slice").slice(0, 1), "counts": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
-
-    out = np.zeros((_SLICES, (1 << SKETCH_BITS) // _SLICES), np.uint16)
-    for r in slices.groupBy("slice").applyInArrow(add, "slice int, counts binary").toLocalIterator():
-        out[r["slice"]] = np.frombuffer(r["counts"], np.uint16)
-    return out.ravel()
-
-
-def prefix(s: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """(tokens of a set's prefix, the rarest first; how many of them a partner must share).
-
-    Two sets as similar as asked, each with its first n - ceil(percent * n / 100) + k tokens in one common order,
-    share k of these. A longer prefix reads more postings (the sum of the tokens' frequencies) but leaves at most
-    that sum over k candidates: k is chosen for the least estimated cost.
+        k = t.column("shard")[0].as_py()
+        once, more, times = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint32) for c in ("once", "more", "times"))
+        values, back = np.unique(np.concatenate((once, more)), return_inverse=True)
+        n = np.bincount(back, np.concatenate((np.ones(len(once)), times)), len(values))
+        values, n = values[n > 1].astype(np.uint64) + np.uint64(edges[k]), n[n > 1]
+        at = (values >> np.uint64(width - SHARED_BITS)).astype(np.int64)
+        first = edges[k] >> (width - SHARED_BITS + 3) << 3
+        bits = np.zeros((edges[k + 1] - 1 >> (width - SHARED_BITS)) - first + 1, bool)
+        bits[at - first] = True
+        low = edges[k] >> (width - COMMON_BITS)
+        cells = np.zeros((edges[k + 1] - 1 >> (width - COMMON_BITS)) - low + 1, np.uint8)
+        common = n >= COMMON
+        np.maximum.at(cells, (values[common] >> np.uint64(width - COMMON_BITS)).astype(np.int64) - low, np.log2(n[common]).astype(np.uint8))
+        return pa.table({"first": [first], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()), "low": [low], "cells": pa.array([cells.tobytes()], pa.binary())})
+
+    shared, common = np.zeros(1 << SHARED_BITS - 3, np.uint8), np.zeros(1 << COMMON_BITS, np.uint8)
+    counted = texts.select("text").mapInArrow(send, "shard int, once binary, more binary, times binary")
+    for r in counted.groupBy("shard").applyInArrow(add, "first long, bits binary, low long, cells binary").toLocalIterator():
+        bits, cells = np.frombuffer(r["bits"], np.uint8), np.frombuffer(r["cells"], np.uint8)
+        at = slice(r["first"] >> 3, (r["first"] >> 3) + len(bits))
+        shared[at] |= bits
+        at = slice(r["low"], r["low"] + len(cells))
+        common[at] = np.maximum(common[at], cells)
+    return shared.tobytes(), common.tobytes()
+
+
+def prefix(s: np.ndarray, shared: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(shared tokens of a set's prefix, their places, how many a partner must share, how many tokens are its own).
+
+    All sets order their tokens alike: those of one class only, then the others, the rarest first. Two sets as
+    similar as asked, each with its first n - ceil(percent * n / 100) + k tokens in that order, share k of these.
+    A longer prefix reads more postings (the sum of the tokens' frequencies) but leaves at most that sum over k
+    candidates: k is chosen for the least estimated cost. A set whose own tokens are too many has no partner.
     """
     n = len(s)
-    seen = sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
-    order = np.lexsort((s, seen))
-    least = -(-percent * n // 100)
+    bit = (s >> np.uint64(64 - SHARED_BITS)).astype(np.int64)
+    met = (shared[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
+    own, least = n - int(met.sum()), -(-percent * n // 100)
+    if n - own < least:
+        return s[:0], np.empty(0, np.int64), 1, own
+    rank = np.where(met, 1 + common[(s >> np.uint64(64 - COMMON_BITS)).astype(np.int64)].astype(np.int64), 0)
+    order = np.lexsort((s, rank))
     most = max(1, min(MOST, least))
-    cost = np.cumsum(seen[order[: n - least + most]])[n - least :].astype(float)
+    seen = np.where(rank == 0, 0, np.where(rank == 1, 2, 1 << np.minimum(rank - 1, 40)))[order]
+    cost = np.cumsum(seen[: n - least + most])[n - least :].astype(float)
     ask = 1 + int(np.argmin(cost[:most] * (1 + VERIFY / np.arange(1, most + 1))))
-    return s[order[: n - least + ask]], ask
+    return s[order[own : n - least + ask]], np.arange(own, n - least + ask), ask, own
 
 
-def _postings(docs: DataFrame, sketch, shingle: int, percent: int, shards: int) -> DataFrame:
-    """Prefix postings of each batch's distinct sets, packed by shards of the token."""
+def _postings(texts: DataFrame, filters, shingle: int, percent: int, shards: int) -> DataFrame:
+    """Shared postings of each batch's distinct sets, packed by shards of the token; with them, what each row is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(sketch.value, np.uint16)
-        for batch in batches:
+        shared, common = (np.frombuffer(x, np.uint8) for x in filters.value)
+        for turn, batch in enumerate(batches):
+            ids = batch.column("doc_id")
+            rows = np.zeros(batch.num_rows, _SEEN)
+            rows["known"] = ids.is_valid().to_numpy(zero_copy_only=False)
+            rows["doc_id"] = ids.fill_null(0).to_numpy(zero_copy_only=False)
             seen: set[int] = {0}
-            parts = []
-            for s in shingle_sets(batch.column("text"), shingle):
+            parts = [np.empty(0, _POST)]
+            for i, s in enumerate(shingle_sets(batch.column("text"), shingle)):
                 cls = class_of(s)
+                rows["cls"][i], rows["n"][i] = cls, len(s)
                 if cls in seen:
                     continue
                 seen.add(cls)
-                tokens, ask = prefix(s, counts, percent)
-                p = np.empty(len(tokens), _POST)
-                p["token"], p["cls"], p["n"], p["pos"], p["ask"] = tokens, cls, len(s), np.arange(len(tokens)), ask
-                parts.append(p)
-            if not parts:
-                continue
+                tokens, places, ask, own = prefix(s, shared, common, percent)
+                if len(tokens):
+                    p = np.empty(len(tokens), _POST)
+                    p["token"], p["cls"], p["n"], p["own"], p["pos"], p["ask"] = tokens, cls, len(s), own, places, ask
+                    parts.append(p)
             posts = np.concatenate(parts)
             shard = ((posts["token"] >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
             order = np.argsort(shard, kind="stable")
             posts, shard = posts[order], shard[order]
-            cut = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(posts)]
-            yield pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]].astype(np.int32)), pa.array([posts[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["shard", "posts"])
+            cut = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(posts)] if len(posts) else []
+            at = shard[cut[:-1]].astype(np.int64).tolist() if cut else []
+            out = [(k, posts[a:b].tobytes(), None) for k, a, b in zip(at, cut, cut[1:])]
+            out += [(int(rows["cls"][a]) % shards, None, rows[a : a + 500].tobytes()) for a in range(0, len(rows), 500)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], names=["shard", "posts", "rows"])
 
-    return docs.mapInArrow(run, "shard int, posts binary")
+    return texts.mapInArrow(run, "shard int, posts binary, rows binary")
 
 
 def _may(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Whether postings of one token can belong to a pair: by sizes, by both prefixes at the lesser demand, by positions."""
-    nx, ny, i, j = (v.astype(np.int64) for v in (x["n"], y["n"], x["pos"], y["pos"]))
+    """Whether postings of one token can belong to a pair: by sizes, by tokens that are not a set's own, by both
+    prefixes at the lesser demand, and by what can still match after, and have matched before, these places."""
+    nx, ny, i, j, ux, uy = (v.astype(np.int64) for v in (x["n"], y["n"], x["pos"], y["pos"], x["own"], y["own"]))
     ask = np.minimum(x["ask"], y["ask"])
     keep = np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent
     keep &= (i < nx + ask - -(-percent * nx // 100)) & (j < ny + ask - -(-percent * ny // 100))
     need = -(-percent * (nx + ny) // (100 + percent))
-    return keep & (np.minimum(i, j) + np.minimum(nx - i, ny - j) >= need)
+    return keep & (np.minimum(i - ux, j - uy) + np.minimum(nx - i, ny - j) >= need)
+
+
+_LISTED = pa.schema([(n, pa.int64()) for n in ("a", "b", "token", "doc_id", "cls")] + [(n, pa.int32()) for n in ("ask", "matches", "n", "own", "pos")])
 
 
 def _listed(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, ask, matches) of short lists, summed by shard, and the postings of long lists."""
-    names = ["a", "b", "ask", "matches", "token", "n", "pos"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+    """Three kinds of rows: pairs (a, b, ask, matches) of short lists, summed by shard; the postings (token, cls, n,
+    own, pos, ask) of long lists; and the documents (doc_id, cls, n), token and pair being null."""
+
+    def table_of(size: int, **columns) -> pa.Table:
+        return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _LISTED], schema=_LISTED)
 
     def join(t: pa.Table) -> pa.Table:
-        p = np.frombuffer(b"".join(t.column("posts").to_pylist()), _POST)
-        p = p[np.lexsort((p["cls"], p["token"]))]
-        p = p[np.concatenate(([True], (p["token"][1:] != p["token"][:-1]) | (p["cls"][1:] != p["cls"][:-1])))]
-        head = np.flatnonzero(np.concatenate(([True], p["token"][1:] != p["token"][:-1])))
-        count = np.diff(np.append(head, len(p)))
-        size = np.repeat(count, count)
-        long, short = p[size >= LONG], p[(size > 1) & (size < LONG)]
-        pairs = []
-        for d in range(1, LONG - 1):
-            x, y = short[:-d], short[d:]
-            same = x["token"] == y["token"]
-            if not same.any():
-                break
-            x, y = x[same], y[same]
-            keep = _may(x, y, percent)
-            pairs.append(np.stack((x["cls"][keep], y["cls"][keep], np.minimum(x["ask"], y["ask"])[keep].astype(np.int64))))
-        a, b, ask = np.concatenate(pairs, axis=1) if pairs else np.empty((3, 0), np.int64)
-        order = np.lexsort((b, a))
-        a, b, ask = a[order], b[order], ask[order]
-        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, np.int64)
-        matches = np.diff(np.append(first, len(a))) if len(a) else first
-        m, k = len(first), len(long)
-        columns = [
-            np.concatenate((a[first], long["cls"])), np.concatenate((b[first], np.zeros(k, np.int64))), np.concatenate((ask[first], long["ask"])), np.concatenate((matches, np.zeros(k, np.int64))),
-            np.concatenate((np.zeros(m, np.int64), long["token"].view(np.int64) if k else np.empty(0, np.int64))), np.concatenate((np.zeros(m, np.int64), long["n"])), np.concatenate((np.zeros(m, np.int64), long["pos"])),
-        ]
-        return pa.table([pa.array(c.astype(x.to_pandas_dtype())) for c, x in zip(columns, types)], names=names)
-
-    return postings.groupBy("shard").applyInArrow(join, "a long, b long, ask int, matches int, token long, n int, pos int")
+        rows = np.frombuffer(b"".join(x for x in t.column("rows").to_pylist() if x), _SEEN)
+        ids = pa.array(rows["doc_id"], mask=rows["known"] == 0)
+        out = [table_of(len(rows), doc_id=ids, cls=rows["cls"], n=rows["n"].astype(np.int32))]
+        p = np.frombuffer(b"".join(x for x in t.column("posts").to_pylist() if x), _POST)
+        if len(p):
+            p = p[np.lexsort((p["cls"], p["token"]))]
+            p = p[np.concatenate(([True], (p["token"][1:] != p["token"][:-1]) | (p["cls"][1:] != p["cls"][:-1])))]
+            head = np.flatnonzero(np.concatenate(([True], p["token"][1:] != p["token"][:-1])))
+            count = np.diff(np.append(head, len(p)))
+            size = np.repeat(count, count)
+            long, short = p[size >= LONG], p[(size > 1) & (size < LONG)]
+            out.append(table_of(len(long), token=long["token"].view(np.int64) if long["token"].flags.c_contiguous else long["token"].astype(np.int64), **{k: long[k] for k in ("cls", "n", "own", "pos", "ask")}))
+            pairs = [np.empty((3, 0), np.int64)]
+            for d in range(1, LONG - 1):
+                x, y = short[:-d], short[d:]
+                same = x["token"] == y["token"]
+                if not same.any():
+                    break
+                x, y = x[same], y[same]
+                keep = _may(x, y, percent)
+                pairs.append(np.stack((x["cls"][keep], y["cls"][keep], np.minimum(x["ask"], y["ask"])[keep].astype(np.int64))))
+            a, b, ask = np.concatenate(pairs, axis=1)
+            order = np.lexsort((b, a))
+            a, b, ask = a[order], b[order], ask[order]
+            first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, np.int64)
+            out.append(table_of(len(first), a=a[first], b=b[first], ask=ask[first].astype(np.int32), matches=np.diff(np.append(first, len(a))).astype(np.int32)))
+        return pa.concat_tables(out)
+
+    return postings.groupBy("shard").applyInArrow(join, "a long, b long, token long, doc_id long, cls long, ask int, matches int, n int, own int, pos int")
 
 
 def _bitmap(values: DataFrame) -> bytes:
@@ -226,7 +256,7 @@ def _fits(x: str, y: str, percent: int):
     text = f"""least({x}.n, {y}.n) * 100L >= greatest({x}.n, {y}.n) * {percent}L
         AND {x}.pos < {x}.n + least({x}.ask, {y}.ask) - ceil({percent} * {x}.n / 100.0)
         AND {y}.pos < {y}.n + least({x}.ask, {y}.ask) - ceil({percent} * {y}.n / 100.0)
-        AND least({x}.pos, {y}.pos) + least({x}.n - {x}.pos, {y}.n - {y}.pos) >= ceil({percent} * ({x}.n + {y}.n) / {100 + percent}.0)"""
+        AND least({x}.pos - {x}.own, {y}.pos - {y}.own) + least({x}.n - {x}.pos, {y}.n - {y}.pos) >= ceil({percent} * ({x}.n + {y}.n) / {100 + percent}.0)"""
     return F.expr(text)
 
 
@@ -244,18 +274,20 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    all_rows = written(_measured(texts, shingle), "sets")
-    measured = all_rows.where("slice is null").select("doc_id", "cls", "n")
-    sketch = spark.sparkContext.broadcast(_sketch(all_rows.where("slice is not null")).tobytes())
     shards = max(16, docs.count() // per_shard)
-    listed = written(_listed(_postings(texts.select("text"), sketch, shingle, percent, shards), percent), "lists")
-    short = listed.where("b <> 0").select("a", "b", "ask", "matches")
-    long = listed.where("b = 0").select(F.col("a").alias("cls"), "token", "n", "pos", "ask")
+    filters = spark.sparkContext.broadcast(_counted(texts, shingle, shards))
+    listed = written(_listed(_postings(texts, filters, shingle, percent, shards), percent), "lists")
+    measured = listed.where("a is null and token is null").select("doc_id", "cls", F.col("n").cast("long").alias("n"))
+    short = listed.where("a is not null").select("a", "b", "ask", "matches")
+    long = listed.where("token is not null").select("cls", "token", "n", "own", "pos", "ask")
     wanted = short.select(F.col("a").alias("cls")).union(short.select("b")).union(long.select("cls")).distinct()
     sets = written(_sets(texts.select("text"), spark.sparkContext.broadcast(_bitmap(wanted)), shingle), "candidates")
 
-    leaders = long.groupBy("token").agg(F.min(F.struct("pos", "cls", "n")).alias("lead"))
-    to_leader = long.join(leaders, "token").where("cls <> lead.cls and least(n, lead.n) * 100L >= greatest(n, lead.n) * %dL" % percent)
+    leaders = long.groupBy("token").agg(F.min(F.struct("own", "pos", "cls", "n")).alias("lead"))
+    to_leader = long.join(leaders, "token").where(
+        f"""cls <> lead.cls and least(n, lead.n) * 100L >= greatest(n, lead.n) * {percent}L
+        and least(n - own, lead.n - lead.own) >= ceil({percent} * (n + lead.n) / {100 + percent}.0)"""
+    )
     stars = written(_verified(to_leader.select(F.col("cls").alias("a"), F.col("lead.cls").alias("b")).distinct(), sets, percent), "stars")
     group = stars.select(F.col("a").alias("cls"), F.col("b").alias("lead")).union(stars.select(F.col("b").alias("cls"), F.col("b").alias("lead")))
     group = group.groupBy("cls").agg(F.min("lead").alias("lead"))
