@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -51,10 +50,20 @@ def accuracy(answer: Column, reference: Column) -> Column:
     return F.contains(squeezed(answer), squeezed(reference)).cast("double")
 
 
-@F.pandas_udf(T.IntegerType())
-def _common(a: pd.Series, b: pd.Series) -> pd.Series:
-    """How many words two lists share, repeats counted: linear, where array functions would compare all with all."""
-    return pd.Series([sum((Counter(x) & Counter(y)).values()) for x, y in zip(a, b)], dtype="int32")
+def _numbered(words: Column) -> Column:
+    """Words with the number of their occurrence, so that lists that repeat words intersect as sets; linear in the sorted words."""
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.transform(s, lambda w, i: F.when((i == 0) | (F.try_element_at(s, F.greatest(i, F.lit(1))) != w), i)), lambda i: i.isNotNull())
+        size = lambda f, i, j: F.coalesce(F.try_element_at(f, j + 2), F.size(s)) - i
+        return F.transform(F.array(first), lambda f: F.transform(f, lambda i, j: F.transform(F.sequence(F.lit(1), size(f, i, j)), lambda k: F.concat(s[i], F.lit("\u0001"), k.cast("string")))))[0]
+
+    return F.flatten(F.transform(F.array(F.sort_array(words)), runs)[0])
+
+
+def _common(a: Column, b: Column) -> Column:
+    """How many words two lists share, repeats counted."""
+    return F.size(F.array_intersect(_numbered(a), _numbered(b)))
 
 
 def token_f1(answer: Column, reference: Column) -> Column:
@@ -79,10 +88,13 @@ def token_overlap(answer: Column, reference: Column) -> Column:
 def rouge_n(answer: Column, reference: Column, n: int) -> Column:
     """F-measure of the n-grams of two texts, repeats counted."""
 
-    def grams(x: Column) -> Column:
-        w = tokens(x)
+    def cut(w: Column) -> Column:
         return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
+    def grams(x: Column) -> Column:
+        # The words are bound once; named within the inner function they would be cut out anew for every n-gram.
+        return F.transform(F.array(tokens(x)), cut)[0]
+
     a, b = grams(answer), grams(reference)
     same = _common(a, b)
     return F.when(same == 0, F.lit(0.0)).otherwise(2.0 * same / (F.size(a) + F.size(b)))

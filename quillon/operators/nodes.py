@@ -72,12 +72,12 @@ def keywords(content: Column, top_n: int = 5) -> Column:
     """
     known = "|".join(STOPWORDS)
     words = F.regexp_extract_all(F.lower(content), F.lit(rf"(?<![a-z])(?!(?:{known})(?![a-z'-]))[a-z][a-z'-]{{2,}}"), F.lit(0))
-    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
 
     def ranked(p: Column) -> Column:
         first = F.filter(F.transform(p, lambda x, i: F.when((i == 0) | (F.try_element_at(p, F.greatest(i, F.lit(1)))["w"] != x["w"]), i)), lambda i: i.isNotNull())
         counted = F.transform(F.array(first), lambda f: F.transform(f, lambda i, j: F.struct((i - F.coalesce(F.try_element_at(f, j + 2), F.size(p))).alias("n"), p[i]["i"].alias("i"), p[i]["w"].alias("w"))))
-        return F.slice(F.array_sort(counted[0]), 1, top_n)
+        return F.slice(F.sort_array(counted[0]), 1, top_n)
 
     return F.transform(F.transform(F.array(placed), ranked)[0], lambda x: x["w"])
 
