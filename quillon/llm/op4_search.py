@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.words import TERM_GAP, hashed, text_bytes
+from quillon.llm.words import TERM_GAP, hashed, sliced, text_bytes
 from quillon.session import table, written
 
 K1, B = 1.2, 0.75
 #: Documents whose postings share a maximum.
-BLOCK = 64
+BLOCK = 256
+#: Documents of a shard, at most, and queries that are scored together.
+SHARD, TOGETHER = 5000, 128
 #: Query terms that are searched for in one pass over the index, about.
 PASS_TERMS = 1 << 20
 #: Decimals of a score; ranks go by the rounded score, then by id.
@@ -27,14 +29,14 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The inverted index: a row a shard (one batch of documents), with its postings by term and document.
+    """The inverted index: a row a shard (at most SHARD documents), with its postings by term and document.
 
     Terms are runs of ASCII letters (A-Z folded), digits, low lines and all characters beyond ASCII. Every row is
     indexed, repeated rows each by itself, null texts as documents without terms.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, SHARD):
             h, first = _terms(batch.column("text"))
             lengths = np.diff(first)
             doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
@@ -65,47 +67,74 @@ def _spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class _Shard:
-    """A shard's postings weighted for given global statistics, with the maximum of every (term, block)."""
+    """A shard's postings with their scores under given global statistics, and the greatest of every (term, block).
+
+    `idf` has the wanted terms' weights; all other postings count nothing.
+    """
 
-    def __init__(self, arrays: dict[str, np.ndarray], mean: float) -> None:
+    def __init__(self, arrays: dict[str, np.ndarray], mean: float, at: np.ndarray, idf: np.ndarray) -> None:
         self.ids, self.terms, self.starts, self.docs = (arrays[k] for k in ("ids", "terms", "starts", "docs"))
         tf = arrays["counts"].astype(float)
-        self.weights = tf * (K1 + 1) / (tf + K1 * (1 - B + B * arrays["lengths"] / mean)[self.docs])
+        weight = np.zeros(len(self.terms))
+        weight[at] = idf
+        self.scores = np.repeat(weight, np.diff(self.starts)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * arrays["lengths"] / mean)[self.docs])
         block = self.docs // BLOCK
         head = np.concatenate(([True], block[1:] != block[:-1])) if len(block) else np.empty(0, bool)
         head[self.starts[:-1]] = True
         self.cells = np.append(np.flatnonzero(head), len(block))
         self.cell_block = block[self.cells[:-1]]
-        self.cell_most = np.maximum.reduceat(self.weights, self.cells[:-1]) if len(block) else np.empty(0)
+        self.cell_most = np.maximum.reduceat(self.scores, self.cells[:-1]) if len(block) else np.empty(0)
+        self.cell_size = np.diff(self.cells)
         self.term_cells = np.searchsorted(self.cells, self.starts)
         self.blocks = len(self.ids) // BLOCK + 1
 
-    def _scores(self, cells: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        starts, ends = self.cells[cells], self.cells[cells + 1]
-        at = _spread(starts, ends)
-        return np.bincount(self.docs[at], self.weights[at] * np.repeat(idf, ends - starts), len(self.ids))
-
-    def top(self, found: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[int, float]]:
-        """(id, score) of the k best documents, ties by id. `found`: the query's terms that the shard has."""
-        a, b = self.term_cells[found], self.term_cells[found + 1]
-        cells, weight = _spread(a, b), np.repeat(idf, b - a)
-        bound = np.bincount(self.cell_block[cells], weight * self.cell_most[cells], self.blocks)
-        # The most promising blocks set the threshold; of the others only those above it are scored.
-        first = np.zeros(self.blocks, bool)
-        first[np.argsort(-bound, kind="stable")[: max(2, k // 8)]] = True
-        now = first[self.cell_block[cells]]
-        scores = self._scores(cells[now], weight[now])
-        least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-        rest = ~first & (bound >= least - 2 * 10.0**-PLACES) & (bound > 0)
-        if rest.any():
-            now = rest[self.cell_block[cells]]
-            scores += self._scores(cells[now], weight[now])
-        scores = np.round(scores, PLACES)
-        near = np.flatnonzero(scores > 0)
+        self.dense: np.ndarray | None = None
+
+    def alive(self, found: np.ndarray, least: float) -> tuple[np.ndarray, bool]:
+        """(cells of the blocks that can reach `least`, whether they hold most of the query's postings)."""
+        cells = _spread(self.term_cells[found], self.term_cells[found + 1])
+        block = self.cell_block[cells]
+        bound = np.bincount(block, self.cell_most[cells], self.blocks)
+        open_ = cells[bound[block] >= least - 2 * 10.0**-PLACES]
+        return open_, 3 * self.cell_size[open_].sum() > self.cell_size[cells].sum()
+
+    def of_cells(self, cells: np.ndarray) -> np.ndarray:
+        """Scores of all documents from the postings of some cells."""
+        at = _spread(self.cells[cells], self.cells[cells + 1])
+        return np.bincount(self.docs[at], self.scores[at], len(self.ids))
+
+    def of_queries(self, queries: list[np.ndarray]) -> np.ndarray:
+        """Scores of all documents for several queries: common terms as one matrix product, the others by their lists."""
+        if self.dense is None:
+            size = np.diff(self.starts)
+            common = np.flatnonzero((size * 16 >= len(self.ids)) & (self.scores[self.starts[:-1]] > 0))
+            self.row = np.full(len(self.terms), -1)
+            self.row[common] = np.arange(len(common))
+            self.dense = np.zeros((len(common), len(self.ids)))
+            for r, t in enumerate(common.tolist()):
+                a, b = self.starts[t], self.starts[t + 1]
+                self.dense[r, self.docs[a:b]] = self.scores[a:b]
+        asked = np.zeros((len(queries), len(self.dense)))
+        for i, found in enumerate(queries):
+            rows = self.row[found]
+            asked[i, rows[rows >= 0]] = 1
+        out = asked @ self.dense
+        for i, found in enumerate(queries):
+            rare = found[self.row[found] < 0]
+            if len(rare):
+                at = _spread(self.starts[rare], self.starts[rare + 1])
+                out[i] += np.bincount(self.docs[at], self.scores[at], len(self.ids))
+        return out
+
+    def best(self, scores: np.ndarray, k: int, least: float) -> list[tuple[float, int]]:
+        """(-score, id) of the k best that reach `least`, rounded; ties by id."""
+        near = np.flatnonzero(scores >= max(least - 2 * 10.0**-PLACES, 10.0**-12))
         if len(near) > k:
-            near = near[scores[near] >= np.partition(scores[near], -k)[-k]]
-        best = near[np.lexsort((self.ids[near], -scores[near]))[:k]]
-        return list(zip(self.ids[best].tolist(), scores[best].tolist()))
+            near = near[scores[near] >= np.partition(scores[near], -k)[-k] - 2 * 10.0**-PLACES]
+        score = np.round(scores[near], PLACES)
+        near, score = near[score > 0], score[score > 0]
+        top = np.lexsort((self.ids[near], -score))[:k]
+        return list(zip((-score[top]).tolist(), self.ids[near[top]].tolist()))
 
 
 def _passes(queries: DataFrame, most: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
@@ -137,7 +166,8 @@ def search(queries: DataFrame, indexed: DataFrame, k: int, *, pass_terms: int =
     queries has (query_id, text); each distinct term of the whole text counts once. Score: the sum over terms of
     ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean length)), rounded to
     six places; equal scores rank by id. Queries are taken in passes of bounded size, each a scan of the index
-    that counts df over all shards and one that keeps each task's k best of a query. A query that is null, empty
+    that counts df over all shards and one that keeps each task's k best of a query: the sum of a block's term
+    maxima bounds its documents, and blocks (or whole shards) below a task's k-th score so far are not scored. A query that is null, empty
     or matches nothing has no rows; repeated queries have theirs once each by id; a null document id shows as -1.
     """
     spark = indexed.sparkSession
@@ -177,19 +207,39 @@ def search(queries: DataFrame, indexed: DataFrame, k: int, *, pass_terms: int =
 
         def best(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
             ids, places, wanted, idf = asked.value
+            held: list[list[tuple[float, int]]] = [[] for _ in ids]
             for arrays in _shards(batches):
                 if not len(arrays["terms"]):
                     continue
-                s = _Shard(arrays, mean)
-                at = np.minimum(np.searchsorted(s.terms, wanted), len(s.terms) - 1)
-                there = s.terms[at] == wanted
-                rows = []
-                for query_id, p in zip(ids, places):
-                    p = p[there[p]]
-                    if len(p):
-                        rows += [(query_id, doc_id, score) for doc_id, score in s.top(at[p], idf[p], k)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
+                at = np.minimum(np.searchsorted(arrays["terms"], wanted), len(arrays["terms"]) - 1)
+                there = arrays["terms"][at] == wanted
+                s = _Shard(arrays, mean, at[there], idf[there])
+                waiting: list[tuple[int, np.ndarray, float]] = []
+
+                def finish(s=s, waiting=waiting) -> None:
+                    for (i, _, least), scores in zip(waiting, s.of_queries([found for _, found, _ in waiting])):
+                        held[i] = sorted(held[i] + s.best(scores, k, least))[:k]
+                    waiting.clear()
+
+                for i, p in enumerate(places):
+                    found = at[p[there[p]]]
+                    least = -held[i][-1][0] if len(held[i]) == k else 0.0
+                    if least:
+                        cells, most = s.alive(found, least)
+                        if not len(cells):
+                            continue
+                        if not most:
+                            held[i] = sorted(held[i] + s.best(s.of_cells(cells), k, least))[:k]
+                            continue
+                    if len(found):
+                        waiting.append((i, found, least))
+                    if len(waiting) == TOGETHER:
+                        finish()
+                if waiting:
+                    finish()
+            rows = [(query_id, doc_id, -score) for query_id, h in zip(ids, held) for score, doc_id in h]
+            for a in range(0, len(rows), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 10_000]), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
 
         found = written(indexed.mapInArrow(best, "query_id long, doc_id long, score double"), "hits")
         out = found if out is None else out.union(found)

@@ -6,6 +6,8 @@ words share a hash with probability 2**-64; the hashes depend on nothing but the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -101,3 +103,10 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
     for t in range(k):
         out += h[t : t + n].astype(np.uint64, copy=False) * _KEYS[t]
     return mixed(out)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, to bound what a step holds at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
