@@ -117,10 +117,11 @@ def cited_answers(passages: DataFrame, queries: DataFrame, model: Model, best: i
         F.array_sort(F.collect_list(F.struct("label", "node_id"))).alias("labels"),
     )
     joined = queries.join(block, "query_id", "left")
+    kind = f"array<{passages.schema['node_id'].dataType.simpleString()}>"
     told = ask(joined.where("evidence is not null"), F.concat(F.lit("Answer from the evidence and cite labels.\n\n"), "evidence", F.lit("\n\nQuestion: "), "text"), model)
     cited = F.filter("labels", lambda x: F.contains(F.col("answer"), F.concat(F.lit("["), x["label"].cast("string"), F.lit("]"))))
-    none = joined.where("evidence is null").select("query_id", F.lit(None).cast("string").alias("answer"), F.lit("not-in-corpus").alias("stance"), F.array().cast("array<bigint>").alias("citations"))
-    return told.select("query_id", "answer", F.lit("answered").alias("stance"), F.transform(cited, lambda x: x["node_id"].cast("bigint")).alias("citations")).unionByName(none)
+    none = joined.where("evidence is null").select("query_id", F.lit(None).cast("string").alias("answer"), F.lit("not-in-corpus").alias("stance"), F.array().cast(kind).alias("citations"))
+    return told.select("query_id", "answer", F.lit("answered").alias("stance"), F.transform(cited, lambda x: x["node_id"]).alias("citations")).unionByName(none)
 
 
 def gated_facts(proposed: DataFrame, schema: DataFrame, limit: int = 12) -> DataFrame:
