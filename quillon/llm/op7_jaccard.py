@@ -322,3 +322,20 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = join(numbered, id_col="_row", shingle=5, percent=80)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_row"))
     return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct([array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w
+), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS token FROM sets),
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b USING (token) WHERE a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach AS (
+    SELECT doc_id, doc_id AS node FROM sets UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.node
+)
+SELECT doc_id, n_shingles, component_id
+FROM (SELECT doc_id, coalesce(len(s), 0)::BIGINT AS n_shingles FROM sets) JOIN (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""

@@ -297,3 +297,16 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: passages of 20 words or more that stand earlier in the corpus are cut; every row stays."""
     return remove(docs)
+
+
+OP9_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+each AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, w FROM w WHERE len(w) >= 20),
+keyed AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 19], ' ')) AS k FROM windows),
+late AS (SELECT doc_id, s FROM (SELECT doc_id, s, min((doc_id, s)) OVER (PARTITION BY k) AS first FROM keyed) WHERE (doc_id, s) > first),
+gone AS (SELECT DISTINCT doc_id, s + j AS i FROM late, range(20) r(j)),
+told AS (SELECT each.doc_id, each.word, each.i, gone.i IS NOT NULL AS out FROM each LEFT JOIN gone USING (doc_id, i))
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(t.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM w LEFT JOIN (SELECT doc_id, count_if(out) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT out) AS kept FROM told GROUP BY doc_id) t USING (doc_id)
+"""

@@ -8,10 +8,10 @@ from quillon.llm.op3_bpe import op3_bpe
 from quillon.llm.op4_search import OP4_SQL, op4_search
 from quillon.llm.op5_media import op5_media
 from quillon.llm.op6_sharding import op6_sharding
-from quillon.llm.op7_jaccard import op7_jaccard
+from quillon.llm.op7_jaccard import OP7_SQL, op7_jaccard
 from quillon.llm.op8_packing import op8_packing
-from quillon.llm.op9_substrings import op9_substrings
+from quillon.llm.op9_substrings import OP9_SQL, op9_substrings
 from quillon.llm.op10_secrets import op10_secrets
 
 QUERIES = {f.__name__: f for f in (op1_language, op2_pii, op3_bpe, op4_search, op5_media, op6_sharding, op7_jaccard, op8_packing, op9_substrings, op10_secrets)}
-ORACLES: dict[str, str] = {"op4_search": OP4_SQL}
+ORACLES: dict[str, str] = {"op4_search": OP4_SQL, "op7_jaccard": OP7_SQL, "op9_substrings": OP9_SQL}
