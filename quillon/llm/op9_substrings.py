@@ -12,13 +12,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.words import hashed, runs, text_bytes
+from quillon.llm.words import hashed, runs, sliced, text_bytes
 from quillon.session import table
 
 #: Bits of the filter of recurring phrases: 16 MB, whatever the corpus. A full filter only costs shuffled bytes.
 FILTER_BITS = 27
 #: Documents whose candidates share a shard of automata, about.
 PER_SHARD = 2000
+#: Documents whose windows a task holds at once.
+AT_ONCE = 4000
 _SEGMENT = np.dtype([("doc", "<i8"), ("text", "<i8"), ("start", "<i4"), ("at", "u1"), ("windows", "u1")])
 _MARK = np.dtype([("start", "<i4"), ("mask", "<u4")])
 _NULL_ID = -(1 << 63)
@@ -120,8 +122,8 @@ def repeats(docs: DataFrame, *, width: int = 20, bits: int = FILTER_BITS, per_sh
     docs has (doc, text). Three passes: phrases that occur more than once are counted exactly, by hash, and set in
     a filter of fixed size; windows around such phrases go, with their words, to the shard of the phrase; there an
     automaton of the shard's confirmed phrases locates them in the words, and each window's first occurrence is
-    told from the later ones. A task sends on only the first of the equal windows of a batch, for the later ones
-    are repeated in any case: a passage in a third of all documents reaches its shard once a batch.
+    told from the later ones. Of equal windows among AT_ONCE documents a task sends on only the first, for the later
+    ones are repeated in any case: a passage in a third of all documents reaches its shard once for so many.
     """
     spark, w = docs.sparkSession, Window(width)
     shards = max(16, docs.count() // per_shard)
@@ -129,7 +131,7 @@ def repeats(docs: DataFrame, *, width: int = 20, bits: int = FILTER_BITS, per_sh
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(flags.value, np.uint8)
-        for batch in batches:
+        for batch in sliced(batches, AT_ONCE):
             ids = batch.column("doc").to_numpy(zero_copy_only=False)
             heads, words, windows, phrase = [], [], [], []
             for row, h, own, at in _per_document(batch, w):
