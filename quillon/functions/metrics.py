@@ -205,3 +205,107 @@ def pairwise(judged: DataFrame) -> DataFrame:
     v = judged.select(verdict_.alias("v"))
     wins, losses, n = F.count_if(F.col("v") == "b"), F.count_if(F.col("v") == "a"), F.count("*")
     return v.agg(n.alias("n"), wins.alias("wins"), losses.alias("losses"), (n - wins - losses).alias("ties"), F.round((wins + 0.5 * (n - wins - losses)) / n, 9).alias("rate"))
+
+
+def overlap_at(answer: Column, reference: Column, threshold: float) -> Column:
+    """1 where at least that share of the reference's distinct blank-separated words stands in the answer, else 0."""
+    a, b = F.array_distinct(F.split(squeezed(answer), " ")), F.array_distinct(F.split(squeezed(reference), " "))
+    return (F.size(F.array_intersect(a, b)) / F.size(b) >= threshold).cast("double")
+
+
+def key_term_precision(answer: Column, reference: Column, stopwords: list[str]) -> Column:
+    """Share of the answer's distinct words, stopwords aside, that the reference holds."""
+    drop = F.array(*map(F.lit, stopwords))
+    a, b = F.array_except(tokens(answer), drop), F.array_distinct(tokens(reference))
+    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(F.lit(0.0))
+
+
+def judged_ratio(verdicts: DataFrame, *by: str) -> DataFrame:
+    """Share of a judge's verdicts (good boolean) that hold: faithfulness, context recall and relevance, completeness."""
+    return verdicts.groupBy(*by).agg(F.round(F.avg(F.col("good").cast("double")), 9).alias("score"), F.count("*").alias("verdicts"))
+
+
+def answer_correctness(verdicts: DataFrame, similarity: DataFrame, weight: float = 0.75) -> DataFrame:
+    """(question_id, score): weight * F1 of facts judged tp, fp or fn, and the rest by the answers' similarity."""
+    n = lambda k: F.count_if(F.col("verdict") == k)
+    facts = verdicts.groupBy("question_id").agg((2 * n("tp") / F.greatest(2 * n("tp") + n("fp") + n("fn"), F.lit(1))).alias("f1"))
+    return facts.join(similarity, "question_id").select("question_id", F.round(weight * F.col("f1") + (1 - weight) * F.col("similarity"), 9).alias("score"))
+
+
+def first_by_document(hits: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """(query_id, node_id, rank): each document's best hit, up to k documents, named by the document.
+
+    documents: (node_id, document).
+    """
+    from pyspark.sql import Window
+
+    best = hits.join(documents, "node_id").groupBy("query_id", "document").agg(F.min("rank").alias("rank"))
+    order = Window.partitionBy("query_id").orderBy("rank", "document")
+    return best.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select("query_id", F.col("document").alias("node_id"), "rank")
+
+
+def pooled_interval(sums: list[float], counts: list[int], resamples: int = 2000) -> tuple[float, float] | None:
+    """The middle 95 % of resampled ratios of summed differences to summed counts, whole questions drawn."""
+    n = len(sums)
+    if n < 2 or not sum(counts):
+        return None
+    seed = hashlib.shake_256(",".join(f"{float(x)!r}/{c}" for x, c in zip(sums, counts)).encode())
+    room = (1 << 32) // n * n
+    raw = np.frombuffer(seed.digest(resamples * n * 5), ">u4").astype(np.int64)
+    picks = (raw[raw < room][: resamples * n] % n).reshape(resamples, n)
+    top, low = np.asarray(sums, float)[picks].sum(axis=1), np.asarray(counts, float)[picks].sum(axis=1)
+    ratios = np.sort(top[low > 0] / low[low > 0])
+    return float(np.quantile(ratios, 0.025)), float(np.quantile(ratios, 0.975))
+
+
+def judge_differences(differences: DataFrame, spreads: DataFrame) -> DataFrame:
+    """(metric, judgement): whether a difference is outside the spread of repetitions, within it, or unjudgeable."""
+    both = differences.join(spreads.select("metric", (F.col("high") - F.col("low")).alias("width")), "metric", "full_outer")
+    said = F.when(F.col("mean").isNull() | F.col("width").isNull(), "unjudgeable").when(F.abs("mean") > F.col("width"), "outside").otherwise("within")
+    return both.select("metric", said.alias("judgement"))
+
+
+def in_tiers(questions: DataFrame, documents: DataFrame, tiers: list[str]) -> DataFrame:
+    """Questions (question_id, documents array) all of whose documents (document, tier) are in an allowed tier."""
+    each = questions.select("question_id", F.explode("documents").alias("document")).join(documents.where(F.col("tier").isin(tiers)), "document", "left_anti")
+    return questions.join(each.select("question_id").distinct(), "question_id", "left_anti")
+
+
+def resolve_labels(labels: DataFrame, documents: DataFrame) -> DataFrame:
+    """(label, document, matches): the one document whose path ends in the label's parts; null where none or several do.
+
+    Labels and paths meet on their last part, then on the whole suffix.
+    """
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    a, b = labels.select("label", last("label").alias("name")), documents.select("document", last("document").alias("name"))
+    fits = a.join(b, "name").where((F.col("document") == F.col("label")) | F.col("document").endswith(F.concat(F.lit("/"), "label")))
+    found = fits.groupBy("label").agg(F.count("*").alias("n"), F.min("document").alias("one"))
+    return labels.select("label").join(found, "label", "left").select("label", F.when(F.col("n") == 1, F.col("one")).alias("document"), F.coalesce("n", F.lit(0)).alias("matches"))
+
+
+def usage(calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """(role, model, tokens in and out, cost) of calls (role, model, prompt, completion) at prices a million tokens."""
+    sums = calls.groupBy("role", "model").agg(F.sum("prompt").alias("prompt"), F.sum("completion").alias("completion"))
+    cost = (F.col("prompt") * F.col("price_in") + F.col("completion") * F.col("price_out")) / 1_000_000
+    return sums.join(prices, "model", "left").select("role", "model", "prompt", "completion", F.round(cost, 9).alias("cost"))
+
+
+#: Bytes of a vector's component by precision.
+BYTES = {"float32": 4.0, "float16": 2.0, "int8": 1.0, "binary": 0.125}
+
+
+def storage_projection(documents: int, chunks_per_document: float, width: int, precision: str = "float32") -> int:
+    """Bytes of the vectors that so many documents will have."""
+    return round(documents * chunks_per_document * width * BYTES[precision])
+
+
+def set_digest(rows: DataFrame) -> str:
+    """A digest of a small table that does not depend on the order of its rows or columns."""
+    names = sorted(rows.columns)
+    lines = sorted(r[0] for r in rows.select(F.to_json(F.struct(*names))).toLocalIterator())
+    return hashlib.sha256("\n".join([",".join(names), *lines]).encode()).hexdigest()
+
+
+def implies(rule: dict[str, tuple[float, float]], claim: dict[str, tuple[float, float]]) -> bool:
+    """Whether every case that a rule's intervals let in is one that a claim's intervals cover."""
+    return all(f in rule and low <= rule[f][0] and rule[f][1] <= high for f, (low, high) in claim.items())

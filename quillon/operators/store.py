@@ -147,3 +147,54 @@ def one_width(vectors: Column) -> Column:
     """The width of a table's vectors; an aggregate that refuses more than one."""
     widths = F.collect_set(F.size(vectors))
     return F.when(F.size(widths) > 1, F.raise_error(F.lit("vectors of several widths")).cast("int")).otherwise(widths[0])
+
+
+def supersede(stored: DataFrame, old_id: str, new: DataFrame) -> DataFrame:
+    """Stored nodes with one replaced by another (one row of the same columns); fewer sources than before are refused.
+
+    To replace again is to change nothing: the old node is gone and the new one is there.
+    """
+    checked = new.crossJoin(stored.where(F.col("id") == old_id).agg(F.collect_list("sources").alias("_old")))
+    lost = F.exists("_old", lambda s: F.size(F.array_except(s, F.col("sources"))) > 0)
+    checked = checked.withColumn("id", F.when(lost, F.raise_error(F.lit("the new node covers fewer sources"))).otherwise(F.col("id"))).drop("_old")
+    return stored.where(F.col("id") != old_id).join(new.select("id"), "id", "left_anti").select(stored.columns).unionByName(checked.select(stored.columns))
+
+
+def reconcile(made: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes left after unfinished deletions, report): sources still marked as deleting are deleted now."""
+    gone = catalogue.where("status = 'deleting'").select(F.col("id").alias("source"))
+    touched = delete_sources(made, gone)
+    report = touched.agg(F.count("*").alias("examined"), F.count_if("deleted").alias("removed"), F.count_if(~F.col("deleted")).alias("narrowed"))
+    return touched, report
+
+
+def leaves(nodes: DataFrame) -> DataFrame:
+    """Nodes that stand for no other: without a representation and without a mark that makes them no leaf."""
+    marks = [c for c in ("representation", "mention", "fact") if c in nodes.columns]
+    out = nodes
+    for c in marks:
+        out = out.where(F.col(c).isNull())
+    return out
+
+
+def open_generation(generations: DataFrame, generation: str, layer: str) -> DataFrame:
+    """The catalogue of generations with one that is being built."""
+    row = generations.sparkSession.createDataFrame([(generation, layer, "building")], "id string, layer string, status string").withColumn("published_at", F.lit(None).cast("timestamp"))
+    return generations.join(row.select("id"), "id", "left_anti").select("id", "layer", "status", "published_at").unionByName(row)
+
+
+def set_generation(generations: DataFrame, generation: str, status: str) -> DataFrame:
+    """The catalogue with one generation published (now) or withdrawn."""
+    mine = F.col("id") == generation
+    at = F.when(mine & F.lit(status == "published"), F.current_timestamp()).otherwise(F.col("published_at"))
+    return generations.withColumn("published_at", at).withColumn("status", F.when(mine, status).otherwise(F.col("status")))
+
+
+def hidden_generations(generations: DataFrame) -> DataFrame:
+    """(id): generations that readers do not see: all but the newest published of each layer."""
+    return generations.join(newest_published(generations).select("id"), "id", "left_anti").select("id")
+
+
+def blob_key(tenant: Column, source: Column, ordinal: Column, suffix: Column) -> Column:
+    """Where a source's bytes lie: tenant, digest of the source, ordinal."""
+    return F.concat(tenant, F.lit("/"), F.sha2(source, 256), F.lit("/"), ordinal.cast("string"), F.lit("."), suffix)
