@@ -265,8 +265,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
 
     Equal sets are one class (63-bit identity), so copies cost a row each and no pairs. Classes meet in the lists
     of their prefixes' shingles. Short lists give their pairs. In a long list each member is first held against
-    the list's leader (the set that has the shingle earliest); members linked to one leader need no pair between
-    them, and only those outside the list's largest group are joined with the rest. All pairs with enough matches
+    the list's leader (the set with the fewest tokens of its own); members that these links connect need no pair
+    between them, and only those outside the list's largest group are joined with the rest. All pairs with enough matches
     are verified on whole sets, so no link between two components is lost.
 
     Texts that are null or without words are linked with nothing. Repeated rows are one class; a null id is kept
@@ -289,8 +289,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
         and least(n - own, lead.n - lead.own) >= ceil({percent} * (n + lead.n) / {100 + percent}.0)"""
     )
     stars = written(_verified(to_leader.select(F.col("cls").alias("a"), F.col("lead.cls").alias("b")).distinct(), sets, percent), "stars")
-    group = stars.select(F.col("a").alias("cls"), F.col("b").alias("lead")).union(stars.select(F.col("b").alias("cls"), F.col("b").alias("lead")))
-    group = group.groupBy("cls").agg(F.min("lead").alias("lead"))
+    group = components(stars).select(F.col("node").alias("cls"), F.col("label").alias("lead"))
     grouped = long.join(group, "cls", "left").withColumn("lead", F.coalesce("lead", "cls"))
     grouped = written(grouped, "grouped")
     most = grouped.groupBy("token", "lead").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "lead")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
