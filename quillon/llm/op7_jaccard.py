@@ -94,7 +94,8 @@ def prefix(s: np.ndarray, shared: np.ndarray, common: np.ndarray, percent: int)
     """(shared tokens of a set's prefix, their places, how many a partner must share, how many tokens are its own).
 
     All sets order their tokens alike: those of one class only, then the others, the rarest first. Two sets as
-    similar as asked, each with its first n - ceil(percent * n / 100) + k tokens in that order, share k of these.
+    similar as asked, each with its first n - ceil(percent * n / 100) + k tokens in that order, share k of these
+    (the k-th of o common tokens has at least o - k after it in either set; a pair's sizes bound o more closely).
     A longer prefix reads more postings (the sum of the tokens' frequencies) but leaves at most that sum over k
     candidates: k is chosen for the least estimated cost. A set whose own tokens are too many has no partner.
     """
@@ -150,13 +151,13 @@ def _postings(texts: DataFrame, filters, shingle: int, percent: int, shards: int
 
 
 def _may(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Whether postings of one token can belong to a pair: by sizes, by tokens that are not a set's own, by both
-    prefixes at the lesser demand, and by what can still match after, and have matched before, these places."""
+    """Whether postings of one token can belong to a pair: by sizes, by tokens that are not a set's own, by the
+    places that a pair's first matches can have, and by what can still match after, and have matched before, these."""
     nx, ny, i, j, ux, uy = (v.astype(np.int64) for v in (x["n"], y["n"], x["pos"], y["pos"], x["own"], y["own"]))
     ask = np.minimum(x["ask"], y["ask"])
     keep = np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent
-    keep &= (i < nx + ask - -(-percent * nx // 100)) & (j < ny + ask - -(-percent * ny // 100))
     need = -(-percent * (nx + ny) // (100 + percent))
+    keep &= (i < nx + ask - need) & (j < ny + ask - need)
     return keep & (np.minimum(i - ux, j - uy) + np.minimum(nx - i, ny - j) >= need)
 
 
@@ -254,8 +255,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _fits(x: str, y: str, percent: int):
     """`_may` as a condition on the columns of two joined tables."""
     text = f"""least({x}.n, {y}.n) * 100L >= greatest({x}.n, {y}.n) * {percent}L
-        AND {x}.pos < {x}.n + least({x}.ask, {y}.ask) - ceil({percent} * {x}.n / 100.0)
-        AND {y}.pos < {y}.n + least({x}.ask, {y}.ask) - ceil({percent} * {y}.n / 100.0)
+        AND {x}.pos < {x}.n + least({x}.ask, {y}.ask) - ceil({percent} * ({x}.n + {y}.n) / {100 + percent}.0)
+        AND {y}.pos < {y}.n + least({x}.ask, {y}.ask) - ceil({percent} * ({x}.n + {y}.n) / {100 + percent}.0)
         AND least({x}.pos - {x}.own, {y}.pos - {y}.own) + least({x}.n - {x}.pos, {y}.n - {y}.pos) >= ceil({percent} * ({x}.n + {y}.n) / {100 + percent}.0)"""
     return F.expr(text)
 
