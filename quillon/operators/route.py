@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions.identity import cosine
 
+#: Routes that may be compared with a question.
+MAX_ROUTES = 10_000
 #: Phrases by locale and cue, and hedges by locale.
 CUES = {
     "en": {
@@ -112,7 +114,12 @@ def ladder(features: DataFrame, rules: Sequence[tuple[str, Sequence[tuple[str, s
 
 
 def nearest_description(queries: DataFrame, routes: DataFrame) -> DataFrame:
-    """The route whose description's vector is nearest to the question's; ties by name. Routes are a catalogue."""
+    """The route whose description's vector is nearest to the question's; ties by name.
+
+    Routes are a catalogue, which is broadcast; more than MAX_ROUTES are refused.
+    """
+    if routes.limit(MAX_ROUTES + 1).count() > MAX_ROUTES:
+        raise ValueError(f"more than {MAX_ROUTES} routes")
     pairs = queries.join(F.broadcast(routes.select("route", F.col("vector").alias("told"))))
     scored = pairs.select("query_id", "route", F.round(cosine(F.col("vector"), F.col("told")), 9).alias("score"))
     best = scored.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("far"), "route")).alias("b"))
