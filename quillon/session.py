@@ -23,8 +23,18 @@ def session(app: str = "quillon", **conf: str) -> SparkSession:
     return SparkSession.builder.appName(app).config(map=base | conf).getOrCreate()
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the library wherever the driver was started; clusters ship it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below a folder."""
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
