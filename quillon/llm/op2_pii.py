@@ -25,7 +25,8 @@ PATTERNS = {
 }
 #: What a text must match for a format to be looked for.
 GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9\x20-]{12}", "phone": r"\+[0-9]"}
-_OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+#: A number up to 255 after any zeros; the zeros are given back where they are the whole part.
+_OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Characters beside an entity that are its context, and the distinct texts a pair must share.
 CONTEXT, SUPPORT = 120, 3
 #: Share of an entity's information that a term may reveal.

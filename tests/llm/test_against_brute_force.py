@@ -120,6 +120,15 @@ def test_pii_base(docs, empty, rows):
     assert op2_pii.detect(empty).count() == 0
 
 
+def test_pii_base_zero_parts(spark):
+    """Addresses with a part that is 0, in every place and with leading zeros."""
+    said = ["10.0.0.1", "127.0.0.1 and 192.168.0.12", "0.0.0.0", "00.000.0.0", "0.0.0.256 0256.0.0.0", "1.2.3.0 0.1.2.3", "0255.0.00.010", "x " + "0" * 3000 + ".0.0." + "0" * 3000]
+    rows = [(i, x, None, None, 0, None, None) for i, x in enumerate(said)]
+    want = [(i, [(m.start(), m.end()) for m in re.finditer(PII["ip"][0], x) if PII["ip"][1](m[0])]) for i, x, *_ in rows]
+    got = [(r["doc_id"], [(s["start"], s["end"]) for s in r["ip"]]) for r in op2_pii.detect(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(got) == want
+
+
 def test_pii_terms_reveal(spark):
     """A term that stands only beside one entity is taken, a common one and the term elsewhere are not."""
     rows = [(i, f"meet bigfoot{'abcdef'[i % 6]} Zebulon at joe@home.example.org number {i} common", None, None, 0, None, None) for i in range(4)]
