@@ -1,11 +1,15 @@
-"""Substring deduplication: recurring passages confirmed and located by sharded Aho-Corasick automata."""
+"""Substring deduplication: windows around recurring phrases, resolved to their first occurrence by their hashes.
+
+No automaton is run. Each window is found by the phrase in it with the least hash, so equal windows meet in one
+shard whatever stands around them, and there their 64-bit hashes tell which are equal. Automata of the confirmed
+phrases could only say again that a segment holds the phrase that it was cut around.
+"""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,11 +21,11 @@ from quillon.session import table
 
 #: Bits of the filter of recurring phrases: 16 MB, whatever the corpus. A full filter only costs shuffled bytes.
 FILTER_BITS = 27
-#: Documents whose candidates share a shard of automata, about.
+#: Documents whose candidates share a shard, about.
 PER_SHARD = 2000
 #: Documents whose windows a task holds at once.
 AT_ONCE = 4000
-_SEGMENT = np.dtype([("doc", "<i8"), ("text", "<i8"), ("start", "<i4"), ("at", "u1"), ("windows", "u1")])
+_SEGMENT = np.dtype([("doc", "<i8"), ("text", "<i8"), ("start", "<i4"), ("windows", "u1")])
 _MARK = np.dtype([("start", "<i4"), ("mask", "<u4")])
 _NULL_ID = -(1 << 63)
 
@@ -109,7 +113,7 @@ def _marked(doc: np.ndarray, text: np.ndarray, start: np.ndarray, mask: np.ndarr
     return [(int(doc[a]), int(text[a]), marks[a:b].tobytes()) for a, b in zip(edge, edge[1:])]
 
 
-_ROW = pa.schema([("shard", pa.int32()), ("doc", pa.int64()), ("text_hash", pa.int64()), ("head", pa.binary()), ("words", pa.binary())])
+_ROW = pa.schema([("shard", pa.int32()), ("doc", pa.int64()), ("text_hash", pa.int64()), ("head", pa.binary()), ("windows", pa.binary())])
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -120,10 +124,11 @@ def repeats(docs: DataFrame, *, width: int = 20, bits: int = FILTER_BITS, per_sh
     """(doc, text_hash, marks): where windows of `width` words stand that also start earlier.
 
     docs has (doc, text). Three passes: phrases that occur more than once are counted exactly, by hash, and set in
-    a filter of fixed size; windows around such phrases go, with their words, to the shard of the phrase; there an
-    automaton of the shard's confirmed phrases locates them in the words, and each window's first occurrence is
-    told from the later ones. Of equal windows among AT_ONCE documents a task sends on only the first, for the later
-    ones are repeated in any case: a passage in a third of all documents reaches its shard once for so many.
+    a filter of fixed size; windows around such phrases go, as 64-bit hashes of their words, to the shard of the
+    phrase; there each window's first occurrence is told from the later ones. Two windows that differ in one word
+    are taken for equal only if that word's 64-bit hashes are (2**-64 a pair). Of equal windows among AT_ONCE
+    documents a task sends on only the first, for the later ones are repeated in any case: a passage in a third of
+    all documents reaches its shard once for so many.
     """
     spark, w = docs.sparkSession, Window(width)
     shards = max(16, docs.count() // per_shard)
@@ -133,7 +138,7 @@ def repeats(docs: DataFrame, *, width: int = 20, bits: int = FILTER_BITS, per_sh
         known = np.frombuffer(flags.value, np.uint8)
         for batch in sliced(batches, AT_ONCE):
             ids = batch.column("doc").to_numpy(zero_copy_only=False)
-            heads, words, windows, phrase = [], [], [], []
+            heads, windows, phrase = [], [], []
             for row, h, own, at in _per_document(batch, w):
                 bit = own >> np.uint64(64 - bits)
                 hit = (known[bit >> np.uint64(3)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8)) & 1
@@ -145,11 +150,9 @@ def repeats(docs: DataFrame, *, width: int = 20, bits: int = FILTER_BITS, per_sh
                 begin, count = begin[chosen], count[chosen]
                 head = np.empty(len(begin), _SEGMENT)
                 head["doc"], head["text"] = ids[row], np.uint64(xxhash.xxh3_64_intdigest(batch.column("text")[row].as_py().encode())).astype(np.int64)
-                head["start"], head["at"], head["windows"] = begin, at[begin] - begin, count
+                head["start"], head["windows"] = begin, count
                 heads.append(head)
                 phrase.append(own[at[begin]])
-                short = (h >> np.uint64(32)).astype(np.uint32)
-                words += [short[a : a + n + width - 1] for a, n in zip(begin.tolist(), count.tolist())]
                 all_windows = runs(h, width)
                 windows += [all_windows[a : a + n] for a, n in zip(begin.tolist(), count.tolist())]
             if not heads:
@@ -166,7 +169,7 @@ def repeats(docs: DataFrame, *, width: int = 20, bits: int = FILTER_BITS, per_sh
             shard = np.sort(shard, kind="stable")
             cut = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(order)] if len(order) else []
             for a, b in zip(cut, cut[1:]):
-                rows.append((int(shard[a]), None, None, head[order[a:b]].tobytes(), np.concatenate([words[i] for i in order[a:b].tolist()]).tobytes()))
+                rows.append((int(shard[a]), None, None, head[order[a:b]].tobytes(), np.concatenate([windows[i] for i in order[a:b].tolist()]).tobytes()))
             for a in range(0, len(rows), 5000):
                 yield _rows(rows[a : a + 5000])
 
@@ -176,44 +179,18 @@ def repeats(docs: DataFrame, *, width: int = 20, bits: int = FILTER_BITS, per_sh
         sent = t.filter(pa.compute.is_null(t.column("doc")))
         head = np.frombuffer(b"".join(sent.column("head").to_pylist()), _SEGMENT)
         if len(head):
-            words = np.frombuffer(b"".join(sent.column("words").to_pylist()), np.uint32)
+            value = np.frombuffer(b"".join(sent.column("windows").to_pylist()), np.uint64)
             count = head["windows"].astype(np.int64)
-            size = count + width - 1
-            at = np.cumsum(size) - size
-            there = _located(words, at, size, at + head["at"], w.phrase)
-            begin = np.repeat(at, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            value = runs(words, width)[begin]
-            start = np.repeat(head["start"].astype(np.int64), count) + begin - np.repeat(at, count)
-            late = ~_first(value, np.repeat(head["doc"], count), start) & np.repeat(there, count)
+            start = np.repeat(head["start"].astype(np.int64), count) + np.arange(len(value)) - np.repeat(np.cumsum(count) - count, count)
+            late = ~_first(value, np.repeat(head["doc"], count), start)
             out += _marked(head["doc"], head["text"], head["start"], _masks(late, count))
         doc, text, marks = zip(*out) if out else ((), (), ())
         return pa.table({"doc": pa.array(doc, pa.int64()), "text_hash": pa.array(text, pa.int64()), "marks": pa.array(marks, pa.binary())})
 
-    schema = "shard int, doc long, text_hash long, head binary, words binary"
+    schema = "shard int, doc long, text_hash long, head binary, windows binary"
     return docs.mapInArrow(candidates, schema).groupBy("shard").applyInArrow(resolve, "doc long, text_hash long, marks binary")
 
 
-def _located(words: np.ndarray, at: np.ndarray, size: np.ndarray, phrase_at: np.ndarray, phrase: int) -> np.ndarray:
-    """Whether an automaton of the phrases that two or more segments hold finds a segment's own in it."""
-    _, ids = np.unique(words, return_inverse=True)
-    own = runs(words, phrase)[phrase_at]
-    values, back, n = np.unique(own, return_inverse=True, return_counts=True)
-    out = np.zeros(len(at), bool)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    example = np.zeros(len(values), np.int64)
-    example[back] = phrase_at
-    for k in np.flatnonzero(n > 1).tolist():
-        p = int(example[k])
-        automaton.add_word(tuple(ids[p : p + phrase].tolist()), k)
-    if not len(automaton):
-        return out
-    automaton.make_automaton()
-    for i in np.flatnonzero(n[back] > 1).tolist():
-        a, want, last = int(at[i]), int(back[i]), int(phrase_at[i] - at[i]) + phrase - 1
-        out[i] = any(end == last and k == want for end, k in automaton.iter(tuple(ids[a : a + int(size[i])].tolist())))
-    return out
-
-
 def covered(n: int, marks: list[bytes], width: int) -> np.ndarray:
     """Which of n words the marked windows cover."""
     step = np.zeros(n + 1, np.int32)

@@ -313,6 +313,25 @@ def test_substrings(docs, empty, rows, width):
     assert op9_substrings.digests(empty).count() == 0
 
 
+def test_substrings_words_alike_in_half_a_hash(spark):
+    """Windows that differ in one word only are not equal, though the two words' hashes share their leading 32 bits."""
+    import pyarrow as pa
+
+    words = [f"key{i}" for i in range(300_000)]
+    h, _ = op9_substrings.hashed(*op9_substrings.text_bytes(pa.array([" ".join(words)])))
+    order = np.argsort(h)
+    alike = np.flatnonzero(h[order][1:] >> np.uint64(32) == h[order][:-1] >> np.uint64(32))
+    assert len(alike)
+    rows = []
+    for i, k in enumerate(alike.tolist()):
+        before, after = ([f"{side}{i}x{j}" for j in range(30)] for side in "ab")
+        rows += [(2 * i + d, " ".join([*before, words[order[k + d]], *after])) for d in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_repeats(rows, 20)
+    assert {r[2] for r in want} == {0, 60}
+    assert keyed(op9_substrings.digests(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+
+
 def test_substrings_removed(docs):
     out = op9_substrings.remove(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
