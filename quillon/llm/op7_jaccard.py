@@ -23,6 +23,8 @@ COMMON = 8
 MOST, VERIFY = 4, 20.0
 #: Longer lists of a shingle are joined by way of leaders.
 LONG = 16
+#: Members of a long list that a block of its pairs holds on one side, about.
+BLOCK = 1000
 _POST = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<i4"), ("own", "<i4"), ("pos", "<i4"), ("ask", "<i4")])
 _SEEN = np.dtype([("doc_id", "<i8"), ("known", "<i8"), ("cls", "<i8"), ("n", "<i8")])
 
@@ -261,11 +263,57 @@ def _fits(x: str, y: str, percent: int):
     return F.expr(text)
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, per_shard: int = 2000) -> DataFrame:
-    """(doc_id, n_shingles, cls, component_id) of every document: the components of all links of `percent` or more.
+def _enough(pairs: DataFrame) -> DataFrame:
+    """The pairs that meet as often as they ask for."""
+    return pairs.groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.max("ask").alias("ask")).where("matches >= ask")
+
+
+def _connecting(short: DataFrame, long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links (a, b) that connect what all links connect: long lists by way of their leaders."""
+    leaders = long.groupBy("token").agg(F.min(F.struct("own", "pos", "cls", "n")).alias("lead"))
+    to_leader = long.join(leaders, "token").where(
+        f"""cls <> lead.cls and least(n, lead.n) * 100L >= greatest(n, lead.n) * {percent}L
+        and least(n - own, lead.n - lead.own) >= ceil({percent} * (n + lead.n) / {100 + percent}.0)"""
+    )
+    stars = written(_verified(to_leader.select(F.col("cls").alias("a"), F.col("lead.cls").alias("b")).distinct(), sets, percent), "stars")
+    group = components(stars).select(F.col("node").alias("cls"), F.col("label").alias("lead"))
+    grouped = long.join(group, "cls", "left").withColumn("lead", F.coalesce("lead", "cls"))
+    grouped = written(grouped, "grouped")
+    most = grouped.groupBy("token", "lead").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "lead")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
+    inside = grouped.join(most.select("token", F.col("most.lead").alias("most")), "token")
+    apart = inside.where("lead <> most").alias("x").join(inside.alias("y"), F.expr("x.token = y.token and x.lead <> y.lead and (y.lead = y.most or x.cls < y.cls)") & _fits("x", "y", percent))
+    crossed = apart.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.least("x.ask", "y.ask").alias("ask"), F.lit(1).alias("matches"))
+    return _verified(_enough(short.union(crossed)), sets, percent).union(stars)
+
+
+def _paired(long: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, ask, matches) of all members of long lists; a list is joined in as many salted blocks as it needs."""
+    blocks = long.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = long.join(blocks, "token")
+    x = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
+    y = members.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).alias("y")
+    met = x.join(y, F.expr("x.token = y.token and x.block = y.block and x.cls < y.cls") & _fits("x", "y", percent))
+    return met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.least("x.ask", "y.ask").alias("ask"), F.lit(1).alias("matches"))
+
+
+def _links_of(measured: DataFrame, links: DataFrame) -> DataFrame:
+    """(cls, n_links): how many other documents each document of a class is linked with, its equals included."""
+    sizes = measured.where("cls <> 0").groupBy("cls").agg(F.count("*").alias("size"))
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(sizes, both["b"] == sizes["cls"]).groupBy("a").agg(F.sum("size").alias("others"))
+    return sizes.join(others, sizes["cls"] == others["a"], "left").select("cls", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, per_shard: int = 2000, count_links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, cls, n_links, component_id) of every document: all links of `percent` or more, and their components.
+
+    n_links is the number of other rows that a document is linked with: verified pairs of classes, weighted by the
+    classes' sizes. For it all members of a long list are paired, and what is verified grows with the number of
+    links, in a group of near copies with the square of its size. Without `count_links` the column is left out,
+    only the links that components need are formed, and no group costs its square.
 
     Equal sets are one class (63-bit identity), so copies cost a row each and no pairs. Classes meet in the lists
-    of their prefixes' shingles. Short lists give their pairs. In a long list each member is first held against
+    of their prefixes' shingles. Short lists give their pairs. Without `count_links`, in a long list each member is first held against
     the list's leader (the set with the fewest tokens of its own); members that these links connect need no pair
     between them, and only those outside the list's largest group are joined with the rest. All pairs with enough matches
     are verified on whole sets, so no link between two components is lost.
@@ -284,32 +332,24 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
     wanted = short.select(F.col("a").alias("cls")).union(short.select("b")).union(long.select("cls")).distinct()
     sets = written(_sets(texts.select("text"), spark.sparkContext.broadcast(_bitmap(wanted)), shingle), "candidates")
 
-    leaders = long.groupBy("token").agg(F.min(F.struct("own", "pos", "cls", "n")).alias("lead"))
-    to_leader = long.join(leaders, "token").where(
-        f"""cls <> lead.cls and least(n, lead.n) * 100L >= greatest(n, lead.n) * {percent}L
-        and least(n - own, lead.n - lead.own) >= ceil({percent} * (n + lead.n) / {100 + percent}.0)"""
-    )
-    stars = written(_verified(to_leader.select(F.col("cls").alias("a"), F.col("lead.cls").alias("b")).distinct(), sets, percent), "stars")
-    group = components(stars).select(F.col("node").alias("cls"), F.col("label").alias("lead"))
-    grouped = long.join(group, "cls", "left").withColumn("lead", F.coalesce("lead", "cls"))
-    grouped = written(grouped, "grouped")
-    most = grouped.groupBy("token", "lead").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "lead")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
-    inside = grouped.join(most.select("token", F.col("most.lead").alias("most")), "token")
-    apart = inside.where("lead <> most").alias("x").join(inside.alias("y"), F.expr("x.token = y.token and x.lead <> y.lead and (y.lead = y.most or x.cls < y.cls)") & _fits("x", "y", percent))
-    crossed = apart.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.least("x.ask", "y.ask").alias("ask"), F.lit(1).alias("matches"))
-    pairs = short.union(crossed).groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.max("ask").alias("ask")).where("matches >= ask")
-    links = _verified(pairs, sets, percent).union(stars)
-
+    if count_links:
+        pairs = short.union(_paired(long, percent).select("a", "b", "ask", "matches"))
+        links = written(_verified(_enough(pairs), sets, percent), "all_links")
+    else:
+        links = _connecting(short, long, sets, percent)
     labels = components(links)
     classes = measured.groupBy("cls").agg(F.min("doc_id").alias("low")).join(labels, F.col("cls") == F.col("node"), "left").select("cls", "low", F.coalesce("label", "cls").alias("label"))
     lowest = classes.where("cls <> 0").groupBy("label").agg(F.min("low").alias("component_id"))
     named = classes.join(lowest, "label", "left").select("cls", "component_id")
-    return measured.join(named, "cls").select("doc_id", F.col("n").alias("n_shingles"), "cls", F.when(F.col("cls") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    if count_links:
+        named = named.join(_links_of(measured, links), "cls", "left")
+    counted = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
+    return measured.join(named, "cls").select("doc_id", F.col("n").alias("n_shingles"), "cls", *counted, F.when(F.col("cls") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shingles counted, and its component of near copies named."""
-    return join(table(spark, sf_dir, "documents")).drop("cls")
+    return join(table(spark, sf_dir, "documents"), count_links=False).drop("cls")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -319,7 +359,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     that are null or without words are linked with nothing and all stay. Columns are those of docs.
     """
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = join(numbered, id_col="_row", shingle=5, percent=80)
+    found = join(numbered, id_col="_row", shingle=5, percent=80, count_links=False)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_row"))
     return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
 

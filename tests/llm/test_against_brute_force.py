@@ -286,6 +286,31 @@ def test_jaccard_large_near_group(spark):
     assert keyed(op7_jaccard.join(docs), "doc_id", "component_id") == sorted(want, key=repr)
 
 
+def near_copies(n, size):
+    """Rows of near copies of one text, some of them equal, so that lists are long."""
+    r = random.Random(8)
+    base, out = [f"w{i}" for i in range(size)], []
+    for i in range(n):
+        copy = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 5])):
+            copy[r.randrange(size)] = f"e{r.randint(0, 10**6)}"
+        out.append((i, " ".join(copy)))
+    return out
+
+
+@pytest.mark.parametrize("block", [op7_jaccard.BLOCK, 20])
+def test_jaccard_links(spark, rows, monkeypatch, block):
+    """Every document's number of links, copies and long lists included; components are those of fewer links."""
+    monkeypatch.setattr(op7_jaccard, "BLOCK", block)
+    every = [(i, t) for i, t, *_ in rows] + [(i + 10_000, t) for i, t in near_copies(150, 120)]
+    sets = [shingles(t, 3) for _, t in every]
+    want = [(i, sum(1 for b, y in enumerate(sets) if a != b and x and y and 100 * len(x & y) >= 90 * len(x | y))) for a, ((i, _), x) in enumerate(zip(every, sets))]
+    docs = spark.createDataFrame(every, "doc_id long, text string").repartition(6)
+    got = op7_jaccard.join(docs)
+    assert keyed(got, "doc_id", "n_links") == sorted(want, key=repr)
+    assert keyed(got, "doc_id", "component_id") == keyed(op7_jaccard.join(docs, count_links=False), "doc_id", "component_id")
+
+
 def brute_repeats(rows, width):
     seen = {}
     order = sorted(rows, key=lambda r: -1 if r[0] is None else r[0])
