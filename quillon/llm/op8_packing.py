@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm.vocab import encoder, ids_of, rank_bytes
+from quillon.llm.vocab import added_tokens, encoder, ids_of, rank_bytes
 from quillon.session import table
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -97,17 +97,19 @@ def assign(lengths: list[int], size: int, quadratic: float) -> list[tuple[int, i
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocab_path: str | None = None, end_id: int = 0, max_tokens: int = 1024, block_tokens: int = 1 << 22, quadratic: float = 1 / 1024, with_ids: bool = True) -> DataFrame:
     """Pack every document's ids, then `end_id`, into sequences of at most `max_tokens`.
 
-    A null text counts as empty: its document is `end_id` alone. Documents are packed in blocks of about
+    The default vocabulary's added tokens (<|endoftext|>) are one id each where a text spells them out, as its
+    tokenizer file has it; a rank file names none. A null text counts as empty: its document is `end_id` alone. Documents are packed in blocks of about
     `block_tokens` tokens of one input partition, in one pass without a shuffle; within a block less than
     `max_tokens` of padding is left, however large a document is. Repeated rows are packed once each; a null id
     stays null. Ties go by position in the block. Other columns are ignored. `sequence_id` is unique over blocks
     (partition number times 2**33 plus a count); `ids` holds little-endian 32-bit ids, null without `with_ids`.
     """
     raw = docs.sparkSession.sparkContext.broadcast(rank_bytes(vocab_path))
+    added = {} if vocab_path else added_tokens()
     parts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, _ = encoder(raw.value)
+        enc, _ = encoder(raw.value, added)
         base = TaskContext.get().partitionId() << 33
         end = np.array([end_id], "<u4").tobytes()
         block: list[tuple[int | None, bytes]] = []
@@ -132,7 +134,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = ids_of(enc, text.as_py() or "") + end
+                ids = ids_of(enc, text.as_py() or "", named=bool(added)) + end
                 block.append((doc_id, ids))
                 held += len(ids) // 4
                 if held >= block_tokens:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 
 import numpy as np
 import public_tokenizers
@@ -11,6 +12,8 @@ import tiktoken
 
 #: Rank file of the byte-level vocabulary used by default; any file in the same format may be given.
 RANKS = "byte_bpe_50k.tiktoken"
+#: Its tokenizer file, which names the added tokens.
+NAMED = "byte_bpe_50k.json"
 _BUILT: dict[str, tuple] = {}
 
 
@@ -20,19 +23,25 @@ def rank_bytes(path: str | None = None) -> bytes:
         return f.read()
 
 
-def encoder(raw: bytes) -> tuple[tiktoken.Encoding, np.ndarray]:
-    """(encoding without special tokens, byte length of each token by id)."""
-    key = hashlib.md5(raw).hexdigest()
+def added_tokens() -> dict[str, int]:
+    """The default vocabulary's added tokens and their ids."""
+    with open(public_tokenizers.path(NAMED), encoding="utf-8") as f:
+        return {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+
+
+def encoder(raw: bytes, added: dict[str, int] | None = None) -> tuple[tiktoken.Encoding, np.ndarray]:
+    """(encoding with the added tokens as its special ones, byte length of each other token by id)."""
+    key = hashlib.md5(raw + repr(sorted((added or {}).items())).encode()).hexdigest()
     if key not in _BUILT:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
         lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         for piece, rank in ranks.items():
             lengths[rank] = len(piece)
-        enc = tiktoken.Encoding(f"ranks-{key}", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        enc = tiktoken.Encoding(f"ranks-{key}", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added or {})
         _BUILT[key] = enc, lengths
     return _BUILT[key]
 
 
-def ids_of(enc: tiktoken.Encoding, text: str) -> bytes:
-    """Little-endian 32-bit ids of a text; names of special tokens are ordinary text."""
-    return np.array(enc.encode_ordinary(text), "<u4").tobytes()
+def ids_of(enc: tiktoken.Encoding, text: str, named: bool = False) -> bytes:
+    """Little-endian 32-bit ids of a text; names of special tokens are ordinary text unless `named`."""
+    return np.array(enc.encode(text, allowed_special="all") if named else enc.encode_ordinary(text), "<u4").tobytes()

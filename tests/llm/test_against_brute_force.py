@@ -414,6 +414,15 @@ def test_packing(docs, empty, rows):
     assert op8_packing.pack(empty).count() == 0
 
 
+def test_packing_added_tokens(spark):
+    """A text that spells out an added token has its id, as the tokenizer file has it."""
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    said = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>y\n", " <|endoftext|>", "<|endoftext| >", "<|endoftext|>  end  ", "it's <|endoftext|>'s", "plain"]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    got = {p["doc_id"]: np.frombuffer(bytes(p["ids"]), "<u4").tolist() for p in op8_packing.pack(docs.coalesce(1), max_tokens=1024).collect()}
+    assert got == {i: tok.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(said)}
+
+
 def test_packing_cost_balance():
     r = random.Random(1)
     lengths = [r.randint(1, 300) for _ in range(2000)]
