@@ -37,3 +37,14 @@ def test_same_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() >= 0
+
+
+def test_names_of_four_words_stay_whole(spark, tmp_path):
+    """Plans without SQL hold names of three and four words as one."""
+    said = [(1, 0, "user", "we met North Sea Oil Company there"), (1, 1, "user", "and North Sea Oil too, said NSOC"), (2, 0, "user", "see North Sea Oil Company")]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    names = {r["name"] for r in registry.QUERIES["resolve_names"](spark, str(tmp_path)).collect()}
+    assert names == {"North Sea Oil Company", "North Sea Oil", "NSOC"}
+    assert [(r["short"], r["long"]) for r in registry.QUERIES["acronyms"](spark, str(tmp_path)).collect()] == [("NSOC", "North Sea Oil Company")]
+    walked = {(r["query_id"], r["node_id"]): r["score"] for r in registry.QUERIES["graph_walk"](spark, str(tmp_path)).collect()}
+    assert walked == {(1, 1000): 1.0, (1, 1001): 1.0, (1, 2000): 1.0, (2, 1000): 1.0, (2, 2000): 1.0, (2, 1001): 1.0}
