@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections import Counter
@@ -19,11 +20,11 @@ ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][D
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "format")
-#: What the automata score: long words of credential characters.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: What the automata score: words of credential characters as long as the shortest labelled value.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 #: Documents that labelled credentials are taken from, about; and credentials of each kind, at most.
 LABELLED_DOCUMENTS, LABELLED_EACH = 20_000, 400
-#: Symbols of a credential that are learned from and scored; a longer one is scored by its windows' mean.
+#: Symbols of a credential that are learned from; all symbols of a candidate are scored.
 SYMBOLS = 64
 
 
@@ -145,8 +146,6 @@ class Formats:
 
     def secret(self, word: str) -> bool:
         """Whether a word is as likely as 19 of 20 credentials of some kind, and likelier so than as an ordinary word."""
-        if not any(c.isdigit() for c in word) or not any(c.isalpha() for c in word):
-            return False
         w = symbols(word)
         usual = self.ordinary.likelihood(w) if self.ordinary else -math.inf
         return any((x := a.likelihood(w)) >= least and x - usual >= self.margin for a, least in self.kinds)
@@ -155,12 +154,16 @@ class Formats:
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", documents: int = LABELLED_DOCUMENTS, each: int = LABELLED_EACH) -> Formats:
     """Formats inferred from the base credentials and the ordinary words of about `documents` documents.
 
-    The sample is chosen by a hash of id and text; of each kind the `each` first by a hash of the credential count.
+    The sample is chosen by a hash of id and text length; of each kind the `each` first by a hash of the credential
+    count, and of ordinary words the `each` first by a hash, wherever they stand in the sampled texts.
     """
     n = docs.count()
     part = min(1.0, documents / max(1, n)) * (1 << 30)
     chosen = docs.where(F.col(text_col).isNotNull()).where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.length(text_col)), F.lit(1 << 30)) < part)
 
+    def first(words: set[str]) -> set[str]:
+        return set(heapq.nsmallest(each, words, key=lambda w: hashlib.md5(w.encode()).digest()))
+
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: set[tuple[str, str]] = set()
@@ -171,13 +174,14 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", docu
                 for start, kind, end in spans:
                     word = text[start:end]
                     found.add((kind, ASSIGN.match(word)[2] if kind == "assign" else word))
-                if len(words) < 4 * each:
-                    words.update(w for w in re.findall(r"[A-Za-z0-9+/_.=-]{5,}", text[:4000]) if not HEX.search(w))
-            found |= {("", w) for w in sorted(words, key=lambda w: hashlib.md5(w.encode()).digest())[:each]}
+                words.update(w for w in re.findall(r"[A-Za-z0-9+/_.=-]{5,}", text) if not HEX.search(w))
+                if len(words) > 50 * each:
+                    words = first(words)
+            found |= {("", w) for w in first(words)}
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([w for _, w in found], pa.string())], names=["kind", "word"])
 
     words = chosen.select(text_col).mapInArrow(label, "kind string, word string").distinct()
-    rows = [r for kind in ("", *KINDS[:3]) for r in words.where(F.col("kind") == kind).orderBy(F.xxhash64("word"), "word").limit(each).collect()]
+    rows = [r for kind in ("", *KINDS[:3]) for r in words.where(F.col("kind") == kind).orderBy(F.xxhash64("word") if kind else F.md5("word"), "word").limit(each).collect()]
     by: dict[str, list[str]] = {}
     for r in rows:
         by.setdefault(r["kind"], []).append(symbols(r["word"]))

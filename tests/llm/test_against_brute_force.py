@@ -393,6 +393,31 @@ def test_inferred_formats():
     assert not any(f.secret(w) for w in words)
 
 
+def test_secrets_fit_and_candidates(spark, monkeypatch):
+    """Ordinary words come from whole texts, in whatever batches; short values and values of letters are scored."""
+    r = random.Random(4)
+    said = [(i, " ".join(f"{'early' if k < 900 else 'late'}{r.randint(0, 10**6)}" for k in range(1200))) for i in range(8)]
+    taken = []
+    monkeypatch.setattr(op10_secrets, "Formats", lambda labelled, ordinary: taken.append(sorted(ordinary)))
+    for parts in (1, 4):
+        op10_secrets.fit(spark.createDataFrame(said, "doc_id long, text string").repartition(parts))
+    every = {w for _, t in said for w in t.split()}
+    want = sorted(op10_secrets.symbols(w) for w in sorted(every, key=lambda w: hashlib.md5(w.encode()).digest())[:400])
+    assert taken == [want, want]
+
+    class All:
+        def secret(self, word):
+            return True
+
+    text = "abcdefghijkl a1b2c3d4e5f6g abcdefghijk"
+    assert [(a, b) for a, _, b in op10_secrets.spans(text, All())[1]] == [(0, 12), (13, 26)]
+    monkeypatch.undo()
+    keys = ["".join(r.choice("GHJKLMNP") for _ in range(14)) for _ in range(200)]
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(5, 18))) for _ in range(300)]
+    f = op10_secrets.Formats({"key": [op10_secrets.symbols(k) for k in keys[:150]]}, [op10_secrets.symbols(w) for w in words])
+    assert sum(f.secret(k) for k in keys[150:]) >= 40 and not any(f.secret(w) for w in words)
+
+
 def test_packing(docs, empty, rows):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tok.encode_special_tokens = True
