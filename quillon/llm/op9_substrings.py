@@ -1,8 +1,10 @@
-"""Substring deduplication: windows around recurring phrases, resolved to their first occurrence by their hashes.
+"""Substring deduplication by automata of recurring phrases.
 
-No automaton is run. Each window is found by the phrase in it with the least hash, so equal windows meet in one
-shard whatever stands around them, and there their 64-bit hashes tell which are equal. Automata of the confirmed
-phrases could only say again that a segment holds the phrase that it was cut around.
+Phrases that recur in the corpus are confirmed by exact counts. Blocks of documents are the shards: the confirmed
+phrases of a block are compiled into Aho-Corasick automata, all its documents are streamed through them, and only
+where the automata find a phrase are windows compared. So an automaton is as large as its block, whatever the corpus
+has of recurring phrases, and no document is sent to another shard. Each window is known by the phrase in it with the
+least hash; equal windows have the same and meet under it, where 64-bit hashes tell which came first.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,6 +28,8 @@ FILTER_BITS = 27
 PER_SHARD = 2000
 #: Documents whose windows a task holds at once.
 AT_ONCE = 4000
+#: Bytes of the documents that share automata, about, and phrases in an automaton (some 50 MB).
+BLOCK_BYTES, AUTOMATON = 1 << 20, 10_000
 _SEGMENT = np.dtype([("doc", "<i8"), ("text", "<i8"), ("start", "<i4"), ("windows", "u1")])
 _MARK = np.dtype([("start", "<i4"), ("mask", "<u4")])
 _NULL_ID = -(1 << 63)
@@ -57,6 +62,61 @@ def _per_document(batch: pa.RecordBatch, w: Window) -> Iterator[tuple[int, np.nd
         yield int(row), h[a:b], own, w.anchors(own)
 
 
+def compiled(phrases: list[str], most: int = AUTOMATON) -> Iterator[ahocorasick.Automaton]:
+    """Automata of at most so many phrases, one at a time; a phrase is told from parts of words by spaces around it."""
+    for a in range(0, len(phrases), most):
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for p in phrases[a : a + most]:
+            automaton.add_word(f" {p} ")
+        automaton.make_automaton()
+        yield automaton
+
+
+def occurrences(texts: list[list[str]], phrases: list[str], words: int, most: int = AUTOMATON) -> list[np.ndarray]:
+    """For each text (a list of words), whether a phrase of so many words begins at each word, by the automata alone."""
+    found = [np.zeros(len(t), bool) for t in texts]
+    ends: list[np.ndarray] = []
+    for automaton in compiled(phrases, most):
+        for k, t in enumerate(texts):
+            if k == len(ends):
+                ends.append(np.cumsum(np.fromiter(map(len, t), np.int64, len(t)) + 1))
+            hits = np.fromiter((end for end, _ in automaton.iter(f" {' '.join(t)} ")), np.int64)
+            found[k][np.searchsorted(ends[k], hits) - (words - 1)] = True
+    return found
+
+
+def _blocks(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about BLOCK_BYTES; a longer document is a block of its own."""
+    at = held = 0
+    for k, size in enumerate(sizes):
+        if held and held + size > BLOCK_BYTES:
+            yield at, k
+            at, held = k, 0
+        held += size
+    if held:
+        yield at, len(sizes)
+
+
+def _located(batch: pa.RecordBatch, w: Window, known: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What `_per_document` gives, and at which words the automata of the document's block find a phrase."""
+    column = batch.column("text")
+    items = list(_per_document(batch, w))
+    data = [column[row].as_buffer() for row, *_ in items]
+    for a, b in _blocks([len(d) for d in data]):
+        texts = [[x.decode() for x in d.to_pybytes().split()] for d in data[a:b]]
+        phrases: dict[int, str] = {}
+        for words, (_, _, own, at) in zip(texts, items[a:b]):
+            places = at[np.concatenate(([True], at[1:] != at[:-1]))]
+            bit = own[places] >> np.uint64(64 - bits)
+            confirmed = (known[bit >> np.uint64(3)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8)) & 1
+            for p in places[confirmed == 1].tolist():
+                if (key := int(own[p])) not in phrases:
+                    phrases[key] = " ".join(words[p : p + w.phrase])
+        if phrases:
+            for item, found in zip(items[a:b], occurrences(texts, list(phrases.values()), w.phrase)):
+                yield *item, found
+
+
 def _recurring(docs: DataFrame, w: Window, shards: int, bits: int) -> bytes:
     """A bitmap by the leading bits of their hashes of the phrases that occur more than once."""
     edges = (np.arange(1, shards, dtype=object) * (1 << 64) // shards).astype(np.uint64)
@@ -124,8 +184,8 @@ def repeats(docs: DataFrame, *, width: int = 20, bits: int = FILTER_BITS, per_sh
     """(doc, text_hash, marks): where windows of `width` words stand that also start earlier.
 
     docs has (doc, text). Three passes: phrases that occur more than once are counted exactly, by hash, and set in
-    a filter of fixed size; windows around such phrases go, as 64-bit hashes of their words, to the shard of the
-    phrase; there each window's first occurrence is told from the later ones. Two windows that differ in one word
+    a filter of fixed size; automata find these phrases in all documents, and the windows around them go, as 64-bit
+    hashes of their words, to the shard of the phrase; there each window's first occurrence is told from the later ones. Two windows that differ in one word
     are taken for equal only if that word's 64-bit hashes are (2**-64 a pair). Of equal windows among AT_ONCE
     documents a task sends on only the first, for the later ones are repeated in any case: a passage in a third of
     all documents reaches its shard once for so many.
@@ -139,12 +199,10 @@ def repeats(docs: DataFrame, *, width: int = 20, bits: int = FILTER_BITS, per_sh
         for batch in sliced(batches, AT_ONCE):
             ids = batch.column("doc").to_numpy(zero_copy_only=False)
             heads, windows, phrase = [], [], []
-            for row, h, own, at in _per_document(batch, w):
-                bit = own >> np.uint64(64 - bits)
-                hit = (known[bit >> np.uint64(3)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8)) & 1
+            for row, h, own, at, found in _located(batch, w, known, bits):
                 begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
                 count = np.diff(np.append(begin, len(at)))
-                chosen = np.flatnonzero(hit[at[begin]])
+                chosen = np.flatnonzero(found[at[begin]])
                 if not len(chosen):
                     continue
                 begin, count = begin[chosen], count[chosen]
@@ -202,12 +260,15 @@ def covered(n: int, marks: list[bytes], width: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def _with_marks(docs: DataFrame, width: int) -> DataFrame:
-    """docs, which has (_id, _text), with `_texts`: marks by text hash, null where nothing is repeated."""
-    base = docs.withColumn("_doc", F.coalesce(F.col("_id"), F.lit(_NULL_ID)))
-    marks = repeats(base.select(F.col("_doc").alias("doc"), F.coalesce("_text", F.lit("")).alias("text")), width=width)
-    marks = marks.groupBy("doc", "text_hash").agg(F.collect_list("marks").alias("_marks")).groupBy("doc").agg(F.collect_list(F.struct("text_hash", "_marks")).alias("_texts"))
-    return base.join(marks, base["_doc"] == marks["doc"], "left").drop("doc", "_doc")
+def _with_marks(rows: DataFrame, width: int) -> DataFrame:
+    """rows, which are (id, text, own), with `texts`: marks by text hash, null where nothing is repeated.
+
+    `own` holds what else a row has, as one struct, so that its names cannot clash with these.
+    """
+    base = rows.withColumn("doc", F.coalesce("id", F.lit(_NULL_ID)))
+    marks = repeats(base.select("doc", F.coalesce("text", F.lit("")).alias("text")), width=width)
+    marks = marks.groupBy("doc", "text_hash").agg(F.collect_list("marks").alias("marks")).groupBy("doc").agg(F.collect_list(F.struct("text_hash", "marks")).alias("texts"))
+    return base.join(marks, "doc", "left").select("id", "text", "own", "texts")
 
 
 def _flags(text: str | None, texts, width: int) -> tuple[list[bytes], np.ndarray | None]:
@@ -218,7 +279,7 @@ def _flags(text: str | None, texts, width: int) -> tuple[list[bytes], np.ndarray
         own = int(np.uint64(xxhash.xxh3_64_intdigest(data)).astype(np.int64))
         for x in texts:
             if x["text_hash"] == own:
-                return words, covered(len(words), x["_marks"], width)
+                return words, covered(len(words), x["marks"], width)
     return words, None
 
 
@@ -229,20 +290,20 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     same id. Windows are judged on the input. A null id is below all others; a null text has no words; rows with
     equal id and text are the same document and keep the same words. Other columns are left out.
     """
-    rows = _with_marks(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")), width)
+    rows = _with_marks(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(0).alias("own")), width)
     names, types = ["doc_id", "n_words", "n_removed", "kept_sha256"], [pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, texts in zip(batch.column("_id").to_pylist(), batch.column("_text"), batch.column("_texts")):
+            for doc_id, text, texts in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("texts")):
                 words, gone = _flags(text.as_py(), texts.as_py(), width)
                 kept = words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g]
                 out.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    return rows.select("_id", "_text", "_texts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.select("id", "text", "texts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,18 +317,19 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     Where words go, the rest are joined by one space; a text that loses all its words becomes empty.
     """
     names = docs.columns
-    rows = _with_marks(docs.select(*docs.columns, F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")), width)
-    rows = rows.select(*names, "_texts")
     at = names.index(text_col)
+    others = [F.col(f"`{n}`") for n in names if n != text_col]
+    own = F.struct(*others) if others else F.lit(0)
+    rows = _with_marks(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), own.alias("own")), width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new = []
-            for text, texts in zip(batch.column(at), batch.column("_texts")):
+            for text, texts in zip(batch.column("text"), batch.column("texts")):
                 words, gone = _flags(text.as_py(), texts.as_py(), width) if texts.is_valid else (None, None)
                 new.append(text.as_py() if gone is None or not gone.any() else b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode())
-            columns = list(batch.columns)[: len(names)]
-            columns[at] = pa.array(new, pa.string())
+            columns = batch.column("own").flatten() if len(names) > 1 else []
+            columns.insert(at, pa.array(new, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.mapInArrow(run, docs.schema)

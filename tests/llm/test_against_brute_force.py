@@ -357,6 +357,39 @@ def test_substrings_words_alike_in_half_a_hash(spark):
     assert keyed(op9_substrings.digests(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == want
 
 
+def test_substrings_automata_decide(spark, monkeypatch):
+    """Phrases are found whole words at a time wherever they stand; what is taken from an automaton is not removed."""
+    texts = ["a b c d a b", "xa b c", "a b", "é b a b c"]
+    got = op9_substrings.occurrences([t.split() for t in texts], ["a b", "b c", "é b"], 2, most=2)
+    assert [np.flatnonzero(g).tolist() for g in got] == [[0, 1, 4], [1], [0], [0, 2, 3]]
+    passage = " ".join(f"passage{i}" for i in range(40))
+    rows = [(i, f"{passage} {' '.join(f'own{i}x{j}' for j in range(5))}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sum(r["n_removed"] for r in op9_substrings.digests(docs).collect()) == 5 * 40
+    monkeypatch.setattr(op9_substrings, "BLOCK_BYTES", 1)
+    assert sum(r["n_removed"] for r in op9_substrings.digests(docs).collect()) == 5 * 40
+    w = op9_substrings.Window(20)
+    batch = op9_substrings.pa.RecordBatch.from_pydict({"text": [rows[0][1]]})
+    known = np.full(1 << 13, 255, np.uint8)
+    _, _, _, at, found = next(op9_substrings._located(batch, w, known, 16))
+    whole = op9_substrings.compiled
+    monkeypatch.setattr(op9_substrings, "compiled", lambda phrases, most: whole(phrases[1:], most))
+    *_, fewer = next(op9_substrings._located(batch, w, known, 16))
+    assert found[at].all() and found.sum() == fewer.sum() + 1
+    monkeypatch.setattr(op9_substrings, "compiled", lambda phrases, most: iter(()))
+    *_, none = next(op9_substrings._located(batch, w, known, 16))
+    assert not none.any()
+
+
+def test_substrings_clashing_names(spark):
+    """Columns of any name pass through."""
+    names = ["doc", "id", "texts", "marks", "own", "_id", "_text", "doc_id", "text"]
+    docs = spark.createDataFrame([(*[f"{n}{i}" for n in names[:-2]], i, " ".join(f"w{j}" for j in range(30))) for i in range(3)], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    out = op9_substrings.remove(docs)
+    assert out.columns == names
+    assert sorted((r["doc"], r["_text"], r["own"], r["text"] == "") for r in out.collect()) == [(f"doc{i}", f"_text{i}", f"own{i}", i > 0) for i in range(3)]
+
+
 def test_substrings_removed(docs):
     out = op9_substrings.remove(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
