@@ -1,14 +1,15 @@
 """Information-theoretic sanitisation of personal data. DataFrame functions only.
 
-Entities to protect are found by four base formats. A term reveals an entity as far as it raises the entity's
-probability: PMI(term; entity) = log2(p(entity | term) / p(entity)), at most the entity's information content
-IC = -log2 p(entity). Terms with PMI >= disclosure * IC are found in the documents that hold the entity, and are
-generalised to a shared word beginning, where that reveals less, or removed.
+Entities to protect are found by four base formats, and each is protected on three levels: its value (however it is
+written), its class (mail domain, network, issuer, area) and its kind. A term reveals an entity as far as it raises
+the entity's probability: PMI(term; entity) = log2(p(entity | term) / p(entity)), at most the entity's information
+content IC = -log2 p(entity). Terms with PMI >= disclosure * IC are found in the documents that hold the entity, and
+are generalised to a shared word beginning, where that reveals less, or removed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.session import table, written
@@ -28,7 +29,7 @@ GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9\x20-]{12}", "
 #: A number up to 255 after any zeros; the zeros are given back where they are the whole part.
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Characters beside an entity that are its context, and the distinct texts a pair must share.
-CONTEXT, SUPPORT = 120, 3
+CONTEXT, SUPPORT = 120, 2
 #: Share of an entity's information that a term may reveal.
 DISCLOSURE = 0.9
 WORD = r"\p{L}{3,}+"
@@ -85,10 +86,31 @@ def _joined(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.concat(F.lit(f"{kind}:"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string")))
 
 
+def levels(kind: str, value: Column) -> Column:
+    """What is protected of an entity, as array<string>: its value, its class and its kind.
+
+    The value is an address in lower case or without leading zeros, or the digits of a number; the class is the mail
+    domain, the first two parts of an address, the first six digits of a card or the first four of a phone number.
+    """
+    if kind == "email":
+        own, group = F.lower(value), F.regexp_extract(F.lower(value), "@.*", 0)
+    elif kind == "ip":
+        own = F.regexp_replace(value, r"(^|\.)0+(?=[0-9])", "$1")
+        group = F.regexp_extract(own, r"^[0-9]+\.[0-9]+", 0)
+    else:
+        own = _digits(value)
+        group = F.substring(own, 1, 6 if kind == "card" else 4)
+    return F.array(F.concat(F.lit(f"{kind}="), own), F.concat(F.lit(f"{kind}:"), group), F.lit(kind))
+
+
 def base(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, email, ip, card, phone): the base spans of every whole text; a null text counts as empty."""
+    """(doc_id, text, own, email, ip, card, phone): the base spans of every whole text; a null text counts as empty.
+
+    `own` holds all columns of docs as one struct.
+    """
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), own.alias("own"))
     for kind in KINDS:
         may = F.col("text").contains("@") if kind == "email" else F.col("text").rlike(GUARDS[kind])
         spans = F.filter(located(F.col("text"), F.lit(PATTERNS[kind])), _valid(kind))
@@ -105,49 +127,66 @@ def _near(text: Column, span: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.concat(before, F.lit(" "), after)), F.lit(WORD), F.lit(0)))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, *, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(value, term, general) of the terms that reveal an entity, from counts over all documents.
+def _words(text: Column) -> Column:
+    """The distinct lower-case words of a whole text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
-    `found` has rows (rid, text, entities). p(entity | term) is the share of the term's documents in which it
-    stands near the entity; a pair counts from `support` distinct texts, so copies alone prove nothing.
-    `general` is the term's beginning where that reveals less than the threshold, else empty.
+
+def _protected(kind: str) -> Column:
+    """A kind's spans as array<struct<start,end,levels>>."""
+    return F.transform(kind, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), levels(kind, e["value"]).alias("levels")))
+
+
+def disclosing(texts: DataFrame, found: DataFrame, *, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(value, term, general) of the terms that reveal an entity on one of its levels, from counts over all documents.
+
+    `texts` has every document's text, `found` has rows (rid, text, entities), an entity being (start, end, levels).
+    p(entity | term) is the share of the term's documents in which it stands near the entity; a pair counts from
+    `support` distinct texts, so copies alone prove nothing. An entity that is in every document has nothing to
+    reveal. `general` is the term's beginning where the mentions of all terms that begin so, counted like those of
+    the term, reveal less than the threshold; else it is empty.
     """
-    n = docs.count()
-    beside = F.transform("entities", lambda e: F.struct(e["value"].alias("value"), _near(F.col("text"), e).alias("words")))
-    near = found.select("rid", F.xxhash64("text").alias("text_hash"), F.explode(beside).alias("e"))
-    near = near.select("rid", "text_hash", "e.value", F.explode("e.words").alias("term")).distinct()
+    n = texts.count()
+    near = found.select("rid", F.xxhash64("text").alias("text_hash"), F.explode(F.transform("entities", lambda e: F.struct(e["levels"].alias("levels"), _near(F.col("text"), e).alias("words")))).alias("e"))
+    near = near.select("rid", "text_hash", F.explode("e.levels").alias("value"), "e.words")
+    near = near.select("rid", "text_hash", "value", F.explode("words").alias("term")).distinct()
     by_text = near.groupBy("value", "term", "text_hash").agg(F.count("*").alias("docs"))
-    pairs = by_text.groupBy("value", "term").agg(F.count("*").alias("texts"), F.sum("docs").alias("together")).where(F.col("texts") >= support)
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0)))
-    counts = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
-    of = found.select("rid", F.explode(F.array_distinct(F.transform("entities", lambda x: x["value"]))).alias("value")).groupBy("value").agg(F.count("*").alias("with_value"))
-    joined = pairs.join(counts, "term").join(of, "value")
+    pairs = written(by_text.groupBy("value", "term").agg(F.count("*").alias("texts"), F.sum("docs").alias("together")), "pairs")
+    counts = written(texts.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term")), "terms")
+    of = found.select("rid", F.explode(F.array_distinct(F.flatten("entities.levels"))).alias("value")).groupBy("value").agg(F.count("*").alias("with_value"))
+    joined = pairs.where(F.col("texts") >= support).join(counts, "term").join(of, "value")
     content = -F.log2(F.col("with_value") / n)
     reveals = F.log2(F.col("together") / F.col("with_term")) + content
-    joined = joined.withColumn("begin", F.substring("term", 1, 3)).withColumn("reveals", reveals).withColumn("content", content)
-    over = joined.where(F.col("reveals") >= disclosure * F.col("content"))
-    # What a beginning reveals: all counted terms that share it, near the entity or not.
+    over = joined.withColumn("content", content).where((F.col("content") > 0) & (reveals >= disclosure * F.col("content"))).withColumn("begin", F.substring("term", 1, 3))
+    over = written(over.select("value", "term", "begin", "content"), "revealing")
+    asked = over.select("value", "begin").distinct()
     begins = counts.groupBy(F.substring("term", 1, 3).alias("begin")).agg(F.sum("with_term").alias("with_begin"))
-    together = Window.partitionBy("value", "begin")
-    over = over.withColumn("begin_together", F.sum("together").over(together)).join(begins, "begin")
+    beside = pairs.join(counts.select("term"), "term").groupBy("value", F.substring("term", 1, 3).alias("begin")).agg(F.sum("together").alias("begin_together"))
+    told = asked.join(beside, ["value", "begin"]).join(begins, "begin")
     less = F.log2(F.col("begin_together") / F.col("with_begin")) + F.col("content") < disclosure * F.col("content")
-    return over.select("value", "term", F.when(less, F.concat("begin", F.lit("*"))).otherwise("").alias("general"))
+    return over.join(told, ["value", "begin"]).select("value", "term", F.when(less, F.concat("begin", F.lit("*"))).otherwise("").alias("general"))
 
 
-def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(rid, doc_id, text, email, ip, card, phone, term, general): base spans, and those of the terms that reveal them.
+def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE, whole: bool = False) -> DataFrame:
+    """(rid, doc_id, text, own, email, ip, card, phone, term, general): base spans, and those of the terms that reveal them.
 
-    One row a document, repeated rows and null ids included; null and empty texts have no spans. `text` is null
-    where a document has no base span, for nothing there needs a change. Term spans have (start, end, value) and
-    touch no base span; `general` maps a term to what stands for it ("" if it is to be removed). Other columns are left out; an empty table gives an empty result.
+    One row a document, repeated rows and null ids included; null and empty texts have no spans. `text` and `own`
+    (all columns of docs, so that their names cannot clash) are null where a document has no base span, for nothing
+    there needs a change, unless they are wanted as a whole. Term spans have (start, end, value) and touch no base
+    span; `general` maps a term to what stands for it ("" if it is to be removed). An empty table gives an empty result.
     """
     any_of = F.concat(*KINDS)
     based = base(docs, id_col=id_col, text_col=text_col).withColumn("rid", F.monotonically_increasing_id())
-    based = written(based.withColumn("text", F.when(F.size(any_of) > 0, F.col("text"))), "pii")
-    held = based.where("text is not null").withColumn("entities", any_of)
-    reveal = disclosing(docs, held.select("rid", "text", "entities"), text_col=text_col, support=support, disclosure=disclosure)
-    of = held.select("rid", F.explode(F.array_distinct(F.transform("entities", lambda x: x["value"]))).alias("value"))
-    terms = of.join(reveal, "value").groupBy("rid", "term").agg(F.min("general").alias("general"))
+    if not whole:
+        based = based.withColumn("text", F.when(F.size(any_of) > 0, F.col("text"))).withColumn("own", F.lit(None).cast("int"))
+    based = written(based, "pii")
+    entities = F.concat(*[_protected(k) for k in KINDS])
+    held = based.where(F.size(any_of) > 0).select("rid", "text", entities.alias("entities"))
+    reveal = disclosing(docs.select(F.col(text_col).alias("text")), held, support=support, disclosure=disclosure)
+    reveal = written(reveal, "terms_of")
+    of = held.select("rid", F.explode(F.array_distinct(F.flatten("entities.levels"))).alias("value"))
+    said = held.select("rid", F.explode(_words(F.col("text"))).alias("term"))
+    terms = said.join(reveal, "term").join(of, ["rid", "value"]).groupBy("rid", "term").agg(F.min("general").alias("general"))
     terms = terms.groupBy("rid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "general")))).alias("general"))
     terms = terms.withColumn("terms", F.map_keys("general"))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
@@ -158,18 +197,19 @@ def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(doc_id, text) of the documents that hold an entity: entities become [KIND], terms are generalised or removed.
+    """The rows and columns of docs: entities become [KIND], terms that reveal them are generalised or removed.
 
-    All other texts need no change and are not returned. Where spans overlap, the one that starts first is
-    replaced and the other's remainder with it.
+    Texts without an entity stay as they are. Where spans overlap, the one that starts first is replaced and the
+    other's remainder with it.
     """
-    found = detect(docs, id_col=id_col, text_col=text_col, support=support, disclosure=disclosure)
+    found = detect(docs, id_col=id_col, text_col=text_col, support=support, disclosure=disclosure, whole=True)
+
     def marked(spans: str, mark) -> Column:
         return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), mark(x).alias("mark")))
 
     marks = [marked(k, lambda x, m=f"[{k.upper()}]": F.lit(m)) for k in KINDS]
     marks.append(marked("term", lambda x: F.coalesce(F.col("general")[F.lower(x["value"])], F.lit(""))))
-    whole = F.aggregate(
+    cleaned = F.aggregate(
         F.array_sort(F.concat(*marks)),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, x: F.struct(
@@ -178,7 +218,8 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         ),
         lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
     )
-    return found.where("text is not null").select("doc_id", whole.alias("text"))
+    text = F.when(F.size(F.concat(*KINDS)) > 0, cleaned).otherwise(F.col("own")[text_col])
+    return found.select(*[text.alias(c) if c == text_col else F.col("own")[c].alias(c) for c in docs.columns])
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -129,17 +130,112 @@ def test_pii_base_zero_parts(spark):
     assert sorted(got) == want
 
 
+def plain_terms(rows, support, disclosure):
+    """The term spans of every text, and what stands for each term, in plain Python."""
+    letters = re.compile(r"[^\W\d_]{3,}")
+
+    def levels(kind, x):
+        if kind == "email":
+            return [f"email={x.lower()}", f"email:@{x.lower().split('@')[1]}", "email"]
+        if kind == "ip":
+            parts = [str(int(p)) for p in x.split(".")]
+            return [f"ip={'.'.join(parts)}", f"ip:{'.'.join(parts[:2])}", "ip"]
+        d = re.sub(r"\D", "", x)
+        return [f"{kind}={d}", f"{kind}:{d[: 6 if kind == 'card' else 4]}", kind]
+
+    def near(t, a, b):
+        before, after = t[max(0, a - 120) : a], t[b : b + 120]
+        if a > 120:
+            before = re.sub(r"^\S*", "", before)
+        if len(t) > b + 120:
+            after = re.sub(r"(?<!\S)\S*$", "", after)
+        return set(letters.findall(f"{before} {after}".lower()))
+
+    words = [set(letters.findall((t or "").lower())) for _, t, *_ in rows]
+    with_term = defaultdict(int)
+    for w in words:
+        for x in w:
+            with_term[x] += 1
+    held, with_value, texts, together = [], defaultdict(int), defaultdict(set), defaultdict(int)
+    for _, t, *_ in rows:
+        entities = [(m.start(), m.end(), levels(k, m[0])) for k, (p, ok) in PII.items() for m in re.finditer(p, t or "") if ok(m[0])]
+        held.append(entities)
+        for v in {v for *_, ls in entities for v in ls}:
+            with_value[v] += 1
+        for pair in {(v, x) for a, b, ls in entities for v in ls for x in near(t, a, b)}:
+            texts[pair].add(t)
+            together[pair] += 1
+    begin, begin_near = defaultdict(int), defaultdict(int)
+    for x, n in with_term.items():
+        begin[x[:3]] += n
+    for (v, x), n in together.items():
+        if x in with_term:
+            begin_near[v, x[:3]] += n
+    reveal = defaultdict(dict)
+    for (v, x), said in texts.items():
+        ic = -math.log2(with_value[v] / len(rows))
+        if len(said) >= support and x in with_term and ic > 0 and math.log2(together[v, x] / with_term[x]) + ic >= disclosure * ic:
+            less = math.log2(begin_near[v, x[:3]] / begin[x[:3]]) + ic < disclosure * ic
+            reveal[v][x] = f"{x[:3]}*" if less else ""
+    out = []
+    for (i, t, *_), w, entities in zip(rows, words, held):
+        general = {}
+        for v in {v for *_, ls in entities for v in ls}:
+            for x in reveal[v].keys() & w:
+                general[x] = min(reveal[v][x], general.get(x, reveal[v][x]))
+        spans = [(m.start(), m.end(), m[0]) for m in letters.finditer(t or "") if m[0].lower() in general and not any(m.start() < b and a < m.end() for a, b, _ in entities)]
+        out.append((i, spans, general))
+    return out
+
+
+def pii_texts():
+    """Random texts in which some words stand mostly beside entities of one value, class or kind."""
+    r = random.Random(11)
+    common = [f"{a}{b}" for a in ("al", "bra", "con", "dul", "eri") for b in ("mo", "nta", "rius", "sk", "tende")]
+    out = []
+    for i in range(300):
+        w = [r.choice(common) for _ in range(r.randint(3, 90))]
+        for _ in range(r.choice([0, 0, 1, 2])):
+            mail, ip = r.choice(["joe@home.example.org", "Joe@home.example.org", f"u{r.randint(0, 50)}@work.example"]), f"{r.choice(['10.1', '010.01', '77.8'])}.{r.randint(0, 255)}.{r.randint(0, 3)}"
+            kind, x = r.choice([("email", mail), ("ip", ip), ("phone", f"+1 (555) {r.randint(100, 999)}-{r.randint(1000, 9999)}"), ("card", r.choice(["4539 1488 0343 6467", "4111111111111111"]))])
+            beside = {"email": ["Zebulon", "mailbox", "alphabet"], "ip": ["router", "routing", "hostname"], "phone": ["dial", "dialling"], "card": ["visa", "Éxpiry"]}[kind]
+            at = r.randrange(len(w) + 1)
+            w[at:at] = [*r.sample(beside, r.randint(0, len(beside))), x, *(["Zebulon"] if "joe" in x.lower() and r.random() < 0.9 else [])]
+        if r.random() < 0.05:
+            w.insert(0, r.choice(["Zebulon", "router", "dial", "confluence"]))
+        w = [r.choice(["maison", "roulette", "diamond", "zebra"]), *w] if r.random() < 0.4 else w
+        out.append(r.choice([" ", "\n"]).join(w))
+    return out + out[:20] + [None, "", "x"]
+
+
+@pytest.mark.parametrize(("support", "disclosure"), [(2, 0.9), (3, 0.6)])
+def test_pii_terms(spark, support, disclosure):
+    """All term spans and generalisations against plain Python, on random texts, repeated rows and null texts."""
+    rows = [(i, x, None, None, 0, None, None) for i, x in enumerate(pii_texts())]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    want = plain_terms(rows, support, disclosure)
+    got = {r["doc_id"]: r for r in op2_pii.detect(docs, support=support, disclosure=disclosure).collect()}
+    assert sum(len(spans) for _, spans, _ in want) > 100 and (disclosure < 0.9 or any("*" in g for *_, general in want for g in general.values()))
+    for i, spans, general in want:
+        assert [(t["start"], t["end"], t["value"]) for t in got[i]["term"]] == spans, i
+        assert (got[i]["general"] or {}) == general
+
+
 def test_pii_terms_reveal(spark):
-    """A term that stands only beside one entity is taken, a common one and the term elsewhere are not."""
-    rows = [(i, f"meet bigfoot{'abcdef'[i % 6]} Zebulon at joe@home.example.org number {i} common", None, None, 0, None, None) for i in range(4)]
-    rows += [(i, f"some other common text number {i}", None, None, 0, None, None) for i in range(4, 60)]
+    """A term that stands only beside one entity is taken, a common one and the term elsewhere are not; every row stays."""
+    rows = [(i, f"meet bigfoot{'abcdef'[i % 6]} Zebulon at joe@home.example.org number {i} common", "en", None, 0, "s", None) for i in range(4)]
+    rows += [(i, f"some other common text number {i}", None, None, 0, None, "z") for i in range(4, 60)] + [(None, None, None, None, None, None, None)]
     docs = spark.createDataFrame(rows, SCHEMA)
     got = {r["doc_id"]: {t["value"] for t in r["term"]} for r in op2_pii.detect(docs).collect()}
     assert all("Zebulon" in got[i] and "common" not in got[i] and "number" not in got[i] for i in range(4))
-    assert not any(got[i] for i in range(4, 60))
-    clean = {r["doc_id"]: r["text"] for r in op2_pii.sanitise(docs).collect()}
-    assert set(clean) == {0, 1, 2, 3}
-    assert all("[EMAIL]" in x and "Zebulon" not in x and "joe@" not in x and "common" in x for x in clean.values())
+    assert not any(got[i] for i in (*range(4, 60), None))
+    cleaned = op2_pii.sanitise(docs)
+    assert cleaned.columns == docs.columns
+    clean = {r["doc_id"]: r for r in cleaned.collect()}
+    assert len(clean) == len(rows)
+    assert all(tuple(clean[r[0]]) == r for r in rows[4:])
+    assert all("[EMAIL]" in clean[i]["text"] and "Zebulon" not in clean[i]["text"] and "joe@" not in clean[i]["text"] and "common" in clean[i]["text"] and clean[i]["lang"] == "en" for i in range(4))
+    assert op2_pii.sanitise(docs.limit(0)).count() == 0
 
 
 @pytest.fixture(scope="module")
