@@ -10,7 +10,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.session import table
@@ -24,8 +24,8 @@ KINDS = ("assign", "access", "hex", "format")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 #: Documents that labelled credentials are taken from, about; and credentials of each kind, at most.
 LABELLED_DOCUMENTS, LABELLED_EACH = 20_000, 400
-#: Symbols of a credential that are learned from; all symbols of a candidate are scored.
-SYMBOLS = 64
+#: Symbols of all words that an automaton learns from, at most; a word is learned from whole or not at all.
+SYMBOLS = 200_000
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -40,11 +40,19 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 _CLASS = {c: "d" for c in "0123456789"} | {c: "a" for c in "abcdef"} | {c: "l" for c in "ghijklmnopqrstuvwxyz"} | {c: "A" for c in "ABCDEF"} | {c: "L" for c in "GHIJKLMNOPQRSTUVWXYZ"}
 
 
+_COARSE = str.maketrans({c: "x" for c in "alAL"})
+
+
 def symbols(word: str) -> str:
     """A word's characters as classes: digits, hexadecimal and other letters of either case, signs as themselves."""
     return "".join(_CLASS.get(c, c) for c in word)
 
 
+def coarse(symbols: str) -> str:
+    """Classes without the kind of letter: credentials of a labelled make whose letters are of another case or range."""
+    return symbols.translate(_COARSE)
+
+
 class Automaton:
     """A probabilistic automaton merged from the prefix tree of sample words (compatibility by Hoeffding's bound)."""
 
@@ -55,7 +63,7 @@ class Automaton:
         self.end: list[int] = [0]
         for w in words:
             s = 0
-            for c in w[:SYMBOLS]:
+            for c in w:
                 self.n[s][c] = self.n[s].get(c, 0) + 1
                 if c not in self.go[s]:
                     self.go[s][c] = len(self.go)
@@ -116,74 +124,92 @@ class Automaton:
                 self.go[s][c] = into
                 self._fold(into, t)
         self.logs = {s: {c: math.log(k / self._total(s)) for c, k in self.n[s].items()} for s in red}
+        self.ends = {s: math.log(self.end[s] / self._total(s)) for s in red if self.end[s]}
         self.go = {s: self.go[s] for s in red}
         del self.n, self.end
 
     def likelihood(self, word: str) -> float:
-        """Mean log probability of a symbol; a symbol unseen in its state costs the floor and goes back to the start."""
+        """Mean log probability of a word's symbols and its end; what is unseen in its state costs the floor, and a symbol
+        goes back to the start."""
         total, s, low = 0.0, 0, math.log(self.floor)
         for c in word:
             p = self.logs.get(s, {}).get(c)
             total += low if p is None else p
             s = 0 if p is None else self.go[s][c]
-        return total / max(1, len(word))
+        return (total + self.ends.get(s, low)) / (len(word) + 1)
+
+
+def _bounded(words: list[str]) -> list[str]:
+    """The words in order, without those that would take the symbols of all beyond SYMBOLS."""
+    out, held = [], 0
+    for w in words:
+        if held + len(w) <= SYMBOLS:
+            out.append(w)
+            held += len(w)
+    return out
 
 
 class Formats:
-    """One automaton for each labelled kind, one for ordinary words, and the least likelihood of each kind."""
+    """For each labelled kind automata of its fine and of its coarse symbols, likewise for ordinary words; of each kind
+    the least likelihood and the least length."""
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str], margin: float = 0.3) -> None:
         self.margin = margin
-        self.kinds: list[tuple[Automaton, float]] = []
-        for kind in sorted(labelled):
-            words = sorted(labelled[kind])
-            if len(words) >= 20:
-                a = Automaton(words)
-                scores = sorted(a.likelihood(w) for w in words)
-                self.kinds.append((a, scores[len(scores) // 20]))
-        self.ordinary = Automaton(sorted(ordinary), alpha=0.2) if len(ordinary) >= 20 else None
-        self.held: dict[str, bool] = {}
+        self.views = []
+        for view in (str, coarse):
+            usual = Automaton(_bounded(sorted(map(view, ordinary))), alpha=0.2) if len(ordinary) >= 20 else None
+            kinds = []
+            for kind in sorted(labelled):
+                words = _bounded(sorted(map(view, labelled[kind])))
+                if len(words) >= 20:
+                    a = Automaton(words)
+                    kinds.append((a, sorted(map(a.likelihood, words))[len(words) // 20], min(map(len, words))))
+            self.views.append((view, usual, kinds))
 
     def secret(self, word: str) -> bool:
-        """Whether a word is as likely as 19 of 20 credentials of some kind, and likelier so than as an ordinary word."""
-        w = symbols(word)
-        usual = self.ordinary.likelihood(w) if self.ordinary else -math.inf
-        return any((x := a.likelihood(w)) >= least and x - usual >= self.margin for a, least in self.kinds)
+        """Whether a word is as long and as likely as 19 of 20 credentials of some kind, and likelier so than as an
+        ordinary word, by its fine or by its coarse symbols."""
+        fine = symbols(word)
+        for view, usual, kinds in self.views:
+            w = view(fine)
+            likely = [x for a, least, shortest in kinds if len(w) >= shortest and (x := a.likelihood(w)) >= least]
+            if likely and max(likely) - (usual.likelihood(w) if usual else -math.inf) >= self.margin:
+                return True
+        return False
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", documents: int = LABELLED_DOCUMENTS, each: int = LABELLED_EACH) -> Formats:
     """Formats inferred from the base credentials and the ordinary words of about `documents` documents.
 
-    The sample is chosen by a hash of id and text length; of each kind the `each` first by a hash of the credential
-    count, and of ordinary words the `each` first by a hash, wherever they stand in the sampled texts.
+    The sample is chosen by a hash of id and text length; of each kind of credential, and of ordinary words, the
+    `each` first by a hash count, wherever they stand in the sampled texts and however rows are dealt to tasks.
     """
     n = docs.count()
     part = min(1.0, documents / max(1, n)) * (1 << 30)
     chosen = docs.where(F.col(text_col).isNotNull()).where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.length(text_col)), F.lit(1 << 30)) < part)
 
     def first(words: set[str]) -> set[str]:
-        return set(heapq.nsmallest(each, words, key=lambda w: hashlib.md5(w.encode()).digest()))
+        return set(heapq.nsmallest(each, words, key=lambda w: hashlib.md5(w.encode()).hexdigest()))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, set[str]] = {kind: set() for kind in ("", *KINDS[:3])}
         for batch in batches:
-            found: set[tuple[str, str]] = set()
-            words: set[str] = set()
             for x in batch.column(0):
                 text = x.as_py()
-                spans = base_spans(text)
-                for start, kind, end in spans:
+                for start, kind, end in base_spans(text):
                     word = text[start:end]
-                    found.add((kind, ASSIGN.match(word)[2] if kind == "assign" else word))
-                words.update(w for w in re.findall(r"[A-Za-z0-9+/_.=-]{5,}", text) if not HEX.search(w))
-                if len(words) > 50 * each:
-                    words = first(words)
-            found |= {("", w) for w in first(words)}
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([w for _, w in found], pa.string())], names=["kind", "word"])
-
-    words = chosen.select(text_col).mapInArrow(label, "kind string, word string").distinct()
-    rows = [r for kind in ("", *KINDS[:3]) for r in words.where(F.col("kind") == kind).orderBy(F.xxhash64("word") if kind else F.md5("word"), "word").limit(each).collect()]
+                    held[kind].add(ASSIGN.match(word)[2] if kind == "assign" else word)
+                held[""].update(w for w in re.findall(r"[A-Za-z0-9+/_.=-]{5,}", text) if not HEX.search(w))
+                for kind, words in held.items():
+                    if len(words) > 50 * each:
+                        held[kind] = first(words)
+        rows = [(kind, w) for kind, words in held.items() for w in first(words)]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([w for _, w in rows], pa.string())], names=["kind", "word"])
+
+    order = Window.partitionBy("kind").orderBy(F.md5("word"))
+    words = chosen.select(text_col).mapInArrow(label, "kind string, word string").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)
     by: dict[str, list[str]] = {}
-    for r in rows:
+    for r in sorted(words.select("kind", "rank", "word").collect()):
         by.setdefault(r["kind"], []).append(symbols(r["word"]))
     return Formats({k: v for k, v in by.items() if k}, by.get("", []))
 

@@ -547,6 +547,54 @@ def test_secrets_fit_and_candidates(spark, monkeypatch):
     assert sum(f.secret(k) for k in keys[150:]) >= 40 and not any(f.secret(w) for w in words)
 
 
+def planted_secrets():
+    """Texts with labelled credentials, others with unlabelled ones of the same makes or of other letters, and clean ones."""
+    r = random.Random(12)
+    word = lambda n=None: "".join(r.choice("etaoinshrdlucmfw") for _ in range(n or r.randint(2, 9)))
+    make = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    base36, upper = "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows, planted = [], {}
+    for i in range(600):
+        w = [word() for _ in range(r.randint(5, 60))]
+        if i % 3 == 0:
+            w.insert(r.randrange(len(w)), r.choice([f'api_key = "{make(base36, 32)}"', f"token: sk_{make(base36, 24)}", f"AKIA{make(upper, 16)}"]))
+        elif i % 3 == 1:
+            planted[i] = r.choice([make(base36, 32), f"sk_{make(base36, 24)}", make(upper, 32)])
+            w.insert(r.randrange(len(w)), planted[i])
+        else:
+            w += [r.choice([word(14) + "-" + word(12), f"{word(8)}.{word(9)}.{word(4)}", str(r.randint(10**11, 10**13)), "2024-05-06T10:11:12"])]
+        rows.append((i, " ".join(w), "en", "s", 0, None, None))
+    return rows, planted
+
+
+def test_secrets_unseen(spark):
+    """Bare credentials of labelled makes are found, clean texts are left alone, however the rows are dealt."""
+    rows, planted = planted_secrets()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    formats = [op10_secrets.fit(docs.repartition(n)) for n in (1, 13)]
+    assert [[(v[1].logs, v[1].ends, [(a.logs, least, n) for a, least, n in v[2]]) for v in f.views] for f in formats][0] == [[(v[1].logs, v[1].ends, [(a.logs, least, n) for a, least, n in v[2]]) for v in f.views] for f in formats][1]
+    got = {r["doc_id"]: r for r in op10_secrets.scan(docs, formats[0]).collect()}
+    text = {r[0]: r[1] for r in rows}
+    hit = sum(f"format:{text[i].index(x)}:{text[i].index(x) + len(x)}" in got[i]["spans"].split(",") for i, x in planted.items() if not re.search("[0-9a-f]{16}", x))
+    assert hit >= 0.85 * sum(not re.search("[0-9a-f]{16}", x) for x in planted.values())
+    assert sum(got[i]["n_format"] for i in range(600) if i % 3 == 2) <= 4
+    # Every span against a plain restatement, with the same automata.
+    for i, t, *_ in rows:
+        spans = [(m.start(), k, kind, m.end()) for k, (kind, p, ok) in enumerate(BASE) for m in re.finditer(p, t) if ok(m)]
+        spans += [(m.start(), 3, "format", m.end()) for m in re.finditer(r"[A-Za-z0-9+/_.=-]{12,}", t) if formats[0].secret(m[0]) and not any(a < m.end() and m.start() < b for a, _, _, b in spans if b)]
+        assert got[i]["spans"] == ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(spans))
+
+
+def test_automaton_is_a_distribution():
+    """In every state the probabilities of all symbols and of the end make 1; the end counts in a word's likelihood."""
+    r = random.Random(3)
+    words = ["".join(r.choice("ab") for _ in range(r.choice([3, 3, 6]))) for _ in range(300)]
+    a = op10_secrets.Automaton(words)
+    assert all(abs(sum(map(math.exp, logs.values())) + (math.exp(a.ends[s]) if s in a.ends else 0) - 1) < 1e-9 for s, logs in a.logs.items())
+    one = op10_secrets.Automaton(["ab"] * 50 + ["abab"] * 50)
+    assert one.likelihood("ab") > one.likelihood("aba")
+
+
 def test_packing(docs, empty, rows):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tok.encode_special_tokens = True
