@@ -1,4 +1,10 @@
-"""Exact top-k search by BM25: block-max pruning on an inverted index, shard by shard, merged on global statistics."""
+"""Exact top-k search by BM25: block-max WAND on an inverted index, shard by shard, merged on global statistics.
+
+A shard lies in the order of its documents' likeness, so that the greatest scores of a block's terms are near those of
+its documents. A query takes the blocks of a shard in the order of their bounds, some at a time; its k-th best score
+rises with each turn, and blocks whose bound is below it (and the whole shard, where its terms' greatest scores are)
+are not scored.
+"""
 
 from __future__ import annotations
 
@@ -13,12 +19,14 @@ from quillon.llm.words import TERM_GAP, hashed, sliced, text_bytes
 from quillon.session import table, written
 
 K1, B = 1.2, 0.75
-#: Documents whose postings share a maximum.
-BLOCK = 256
+#: Documents whose postings share a maximum, and the blocks that a query takes in its first turn in a shard.
+BLOCK, FIRST = 64, 2
 #: Documents of a shard, at most, and queries that are scored together.
 SHARD, TOGETHER = 5000, 128
-#: Query terms that are searched for in one pass over the index, about.
-PASS_TERMS = 1 << 20
+#: Query terms that are searched for in one pass over the index, about, and queries, at most.
+PASS_TERMS, PASS_QUERIES = 1 << 20, 1 << 15
+#: Most frequent terms of a shard by which its documents are put in order.
+ORDERING_TERMS = 128
 #: Decimals of a score; ranks go by the rounded score, then by id.
 PLACES = 6
 _ARRAYS = {"ids": np.int64, "lengths": np.int64, "terms": np.uint64, "starts": np.int64, "docs": np.int32, "counts": np.int32}
@@ -28,6 +36,32 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashed(*text_bytes(column), lower=True, gap=TERM_GAP)
 
 
+def _alike(doc: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """An order of n documents in which like ones are neighbours: halved again and again, at a block's border, along
+    the direction in which they differ most in the shard's most frequent terms."""
+    size = ends - starts
+    common = np.lexsort((starts, -size))[:ORDERING_TERMS]
+    x = np.zeros((n, len(common)), np.float32)
+    for j, t in enumerate(common.tolist()):
+        x[doc[starts[t] : ends[t]], j] = 1
+    order = np.arange(n)
+    todo = [(0, n)]
+    while todo:
+        a, b = todo.pop()
+        if b - a <= BLOCK:
+            continue
+        own = x[order[a:b]]
+        own = own - own.mean(axis=0)
+        v = np.linspace(1, 2, own.shape[1], dtype=np.float32)
+        for _ in range(8):
+            v = own.T @ (own @ v)
+            v /= max(float(np.linalg.norm(v)), 1e-30)
+        order[a:b] = order[a:b][np.argsort(own @ v, kind="stable")]
+        middle = a + max(1, (b - a) // 2 // BLOCK) * BLOCK
+        todo += [(a, middle), (middle, b)]
+    return order
+
+
 def index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The inverted index: a row a shard (at most SHARD documents), with its postings by term and document.
 
@@ -46,8 +80,15 @@ def index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
             counts = np.diff(np.append(head, len(h)))
             h, doc = h[head], doc[head]
             starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
-            ids = batch.column("doc_id").cast(pa.int64())
-            arrays = {"ids": ids.fill_null(-1).to_numpy(zero_copy_only=False), "lengths": lengths, "terms": h[starts], "starts": np.append(starts, len(h)), "docs": doc, "counts": counts}
+            ids = batch.column("doc_id").cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+            if len(h) and len(ids) > BLOCK:
+                order = _alike(doc, starts, np.append(starts[1:], len(h)), len(ids))
+                place = np.empty(len(ids), np.int32)
+                place[order] = np.arange(len(ids), dtype=np.int32)
+                doc = place[doc]
+                again = np.lexsort((doc, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))))
+                doc, counts, ids, lengths = doc[again], counts[again], ids[order], lengths[order]
+            arrays = {"ids": ids, "lengths": lengths, "terms": h[starts], "starts": np.append(starts, len(h)), "docs": doc, "counts": counts}
             yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(arrays[k], t).tobytes()], pa.binary()) for k, t in _ARRAYS.items()], names=list(_ARRAYS))
 
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -69,11 +110,13 @@ def _spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class _Shard:
     """A shard's postings with their scores under given global statistics, and the greatest of every (term, block).
 
-    `idf` has the wanted terms' weights; all other postings count nothing.
+    `idf` has the wanted terms' weights; all other postings count nothing. Terms of a sixteenth of the documents or
+    more are held as rows of a matrix, the others as lists with a cell for each block.
     """
 
     def __init__(self, arrays: dict[str, np.ndarray], mean: float, at: np.ndarray, idf: np.ndarray) -> None:
         self.ids, self.terms, self.starts, self.docs = (arrays[k] for k in ("ids", "terms", "starts", "docs"))
+        n = len(self.ids)
         tf = arrays["counts"].astype(float)
         weight = np.zeros(len(self.terms))
         weight[at] = idf
@@ -84,46 +127,63 @@ class _Shard:
         self.cells = np.append(np.flatnonzero(head), len(block))
         self.cell_block = block[self.cells[:-1]]
         self.cell_most = np.maximum.reduceat(self.scores, self.cells[:-1]) if len(block) else np.empty(0)
-        self.cell_size = np.diff(self.cells)
         self.term_cells = np.searchsorted(self.cells, self.starts)
-        self.blocks = len(self.ids) // BLOCK + 1
-
-        self.dense: np.ndarray | None = None
-
-    def alive(self, found: np.ndarray, least: float) -> tuple[np.ndarray, bool]:
-        """(cells of the blocks that can reach `least`, whether they hold most of the query's postings)."""
-        cells = _spread(self.term_cells[found], self.term_cells[found + 1])
-        block = self.cell_block[cells]
-        bound = np.bincount(block, self.cell_most[cells], self.blocks)
-        open_ = cells[bound[block] >= least - 2 * 10.0**-PLACES]
-        return open_, 3 * self.cell_size[open_].sum() > self.cell_size[cells].sum()
-
-    def of_cells(self, cells: np.ndarray) -> np.ndarray:
-        """Scores of all documents from the postings of some cells."""
-        at = _spread(self.cells[cells], self.cells[cells + 1])
-        return np.bincount(self.docs[at], self.scores[at], len(self.ids))
-
-    def of_queries(self, queries: list[np.ndarray]) -> np.ndarray:
-        """Scores of all documents for several queries: common terms as one matrix product, the others by their lists."""
-        if self.dense is None:
-            size = np.diff(self.starts)
-            common = np.flatnonzero((size * 16 >= len(self.ids)) & (self.scores[self.starts[:-1]] > 0))
-            self.row = np.full(len(self.terms), -1)
-            self.row[common] = np.arange(len(common))
-            self.dense = np.zeros((len(common), len(self.ids)))
-            for r, t in enumerate(common.tolist()):
-                a, b = self.starts[t], self.starts[t + 1]
-                self.dense[r, self.docs[a:b]] = self.scores[a:b]
+        self.term_most = np.maximum.reduceat(self.scores, self.starts[:-1]) if len(block) else np.empty(0)
+        self.blocks = -(-n // BLOCK)
+        common = np.flatnonzero((np.diff(self.starts) * 16 >= n) & (weight > 0))
+        self.row = np.full(len(self.terms), -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), n))
+        for r, t in enumerate(common.tolist()):
+            a, b = self.starts[t], self.starts[t + 1]
+            self.dense[r, self.docs[a:b]] = self.scores[a:b]
+        self.dense_most = np.maximum.reduceat(self.dense, np.arange(0, n, BLOCK), axis=1) if len(common) else np.zeros((0, self.blocks))
+        #: Blocks that were scored for some query, and those that a query has terms in.
+        self.scored = self.there = 0
+
+    def search(self, queries: list[np.ndarray], held: list[list[tuple[float, int]]], k: int) -> list[list[tuple[float, int]]]:
+        """For each query (places of its terms) the k best of those held and of this shard, as (-score, id)."""
         asked = np.zeros((len(queries), len(self.dense)))
+        rare = []
+        least = np.array([-h[-1][0] if len(h) == k else 0.0 for h in held])
+        alive = np.array([self.term_most[found].sum() >= x - 2 * 10.0**-PLACES for found, x in zip(queries, least.tolist())], bool)
         for i, found in enumerate(queries):
             rows = self.row[found]
             asked[i, rows[rows >= 0]] = 1
-        out = asked @ self.dense
-        for i, found in enumerate(queries):
-            rare = found[self.row[found] < 0]
-            if len(rare):
-                at = _spread(self.starts[rare], self.starts[rare + 1])
-                out[i] += np.bincount(self.docs[at], self.scores[at], len(self.ids))
+            t = found[rows < 0]
+            rare.append(_spread(self.term_cells[t], self.term_cells[t + 1]))
+        bound = asked @ self.dense_most
+        for i, cells in enumerate(rare):
+            bound[i] += np.bincount(self.cell_block[cells], self.cell_most[cells], self.blocks)
+        self.there += int((bound > 0).sum())
+        bound[~alive] = 0
+        order = np.argsort(-bound, axis=1, kind="stable")
+        bound = np.take_along_axis(bound, order, axis=1)
+        scores = np.zeros((len(queries), len(self.ids)))
+        out = list(held)
+        at, step = 0, FIRST
+        while at < self.blocks:
+            who, turn = np.nonzero((bound[:, at : at + step] > 0) & (bound[:, at : at + step] >= least[:, None] - 2 * 10.0**-PLACES))
+            if not len(who):
+                break
+            block = order[who, at + turn]
+            self.scored += len(who)
+            by = np.argsort(block, kind="stable")
+            cut = [0, *(np.flatnonzero(np.diff(block[by])) + 1).tolist(), len(by)]
+            for a, b in zip(cut, cut[1:]):
+                docs = slice(int(block[by[a]]) * BLOCK, (int(block[by[a]]) + 1) * BLOCK)
+                scores[who[by[a:b]], docs] = asked[who[by[a:b]]] @ self.dense[:, docs]
+            mine = np.zeros((len(queries), self.blocks), bool)
+            mine[who, block] = True
+            for i in np.unique(who).tolist():
+                cells = rare[i][mine[i][self.cell_block[rare[i]]]]
+                if len(cells):
+                    near = _spread(self.cells[cells], self.cells[cells + 1])
+                    scores[i] += np.bincount(self.docs[near], self.scores[near], len(self.ids))
+                out[i] = sorted(held[i] + self.best(scores[i], k, least[i]))[:k]
+                if len(out[i]) == k:
+                    least[i] = -out[i][-1][0]
+            at, step = at + step, 2 * step
         return out
 
     def best(self, scores: np.ndarray, k: int, least: float) -> list[tuple[float, int]]:
@@ -153,7 +213,7 @@ def _passes(queries: DataFrame, most: int) -> Iterator[tuple[list[int], list[np.
         ids.append(r["query_id"])
         terms.append(np.frombuffer(r["terms"], np.uint64))
         held += len(terms[-1])
-        if held >= most:
+        if held >= most or len(ids) == PASS_QUERIES:
             yield ids, terms
             ids, terms, held = [], [], 0
     if ids:
@@ -167,7 +227,7 @@ def search(queries: DataFrame, indexed: DataFrame, k: int, *, pass_terms: int =
     ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean length)), rounded to
     six places; equal scores rank by id. Queries are taken in passes of bounded size, each a scan of the index
     that counts df over all shards and one that keeps each task's k best of a query: the sum of a block's term
-    maxima bounds its documents, and blocks (or whole shards) below a task's k-th score so far are not scored. A query that is null, empty
+    maxima bounds its documents, and blocks (or whole shards) below the k-th score so far are not scored. A query that is null, empty
     or matches nothing has no rows; repeated queries have theirs once each by id; a null document id shows as -1.
     """
     spark = indexed.sparkSession
@@ -214,29 +274,12 @@ def search(queries: DataFrame, indexed: DataFrame, k: int, *, pass_terms: int =
                 at = np.minimum(np.searchsorted(arrays["terms"], wanted), len(arrays["terms"]) - 1)
                 there = arrays["terms"][at] == wanted
                 s = _Shard(arrays, mean, at[there], idf[there])
-                waiting: list[tuple[int, np.ndarray, float]] = []
-
-                def finish(s=s, waiting=waiting) -> None:
-                    for (i, _, least), scores in zip(waiting, s.of_queries([found for _, found, _ in waiting])):
-                        held[i] = sorted(held[i] + s.best(scores, k, least))[:k]
-                    waiting.clear()
-
-                for i, p in enumerate(places):
-                    found = at[p[there[p]]]
-                    least = -held[i][-1][0] if len(held[i]) == k else 0.0
-                    if least:
-                        cells, most = s.alive(found, least)
-                        if not len(cells):
-                            continue
-                        if not most:
-                            held[i] = sorted(held[i] + s.best(s.of_cells(cells), k, least))[:k]
-                            continue
-                    if len(found):
-                        waiting.append((i, found, least))
-                    if len(waiting) == TOGETHER:
-                        finish()
-                if waiting:
-                    finish()
+                here = [(i, at[p[there[p]]]) for i, p in enumerate(places)]
+                here = [(i, found) for i, found in here if len(found)]
+                for a in range(0, len(here), TOGETHER):
+                    some = here[a : a + TOGETHER]
+                    for (i, _), hits in zip(some, s.search([found for _, found in some], [held[i] for i, _ in some], k)):
+                        held[i] = hits
             rows = [(query_id, doc_id, -score) for query_id, h in zip(ids, held) for score, doc_id in h]
             for a in range(0, len(rows), 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 10_000]), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])

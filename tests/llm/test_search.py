@@ -55,3 +55,26 @@ def test_search_empty(spark):
     assert op4_search.search(q, op4_search.index(none), 5).count() == 0
     some = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert op4_search.search(q.where("query_id < 0"), op4_search.index(some), 5).count() == 0
+
+
+def test_search_prunes(spark):
+    """Blocks whose bound is below the k-th best are not scored, and what is found is what all blocks would give."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = op4_search.index(docs).collect()
+    arrays = [{k: np.frombuffer(bytes(r[k]), t) for k, t in op4_search._ARRAYS.items()} for r in rows]
+    scored = there = 0
+    for shard in arrays:
+        n = len(shard["ids"])
+        idf = np.log(1 + (n - np.diff(shard["starts"]) + 0.5) / (np.diff(shard["starts"]) + 0.5))
+        s = op4_search._Shard(shard, float(shard["lengths"].mean()), np.arange(len(idf)), idf)
+        term = np.repeat(np.arange(len(idf)), np.diff(shard["starts"]))
+        queries = [term[shard["docs"] == d] for d in range(0, n, 17)]
+        got = s.search(queries, [[] for _ in queries], 10)
+        for q, hits in zip(queries, got):
+            keep = np.isin(term, q)
+            every = np.bincount(shard["docs"][keep], s.scores[keep], n)
+            assert [i for _, i in hits] == [i for _, i in s.best(every, 10, 0.0)]
+        scored, there = scored + s.scored, there + s.there
+    assert 0 < scored < 0.8 * there
