@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.llm.words import unused
 from quillon.session import table
 
 #: Documents per language that profiles are fitted on, about; chosen by a hash of the id.
 PER_LANGUAGE = 2000
 #: Most frequent n-grams in a profile.
 PROFILE = 300
+#: Least score that the pipeline keeps: below it a text's n-grams are, in the mean, out of place by nine tenths of a
+#: profile, or in no profile, so it is in none of the learned languages.
+LEAST = 0.1
 #: More labels than this are refused: profiles are broadcast.
 MAX_LANGUAGES = 2000
 
@@ -161,11 +165,11 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language can be told stay, with their own columns.
 
-    Rejected are texts that are null, hold no letter, or share no n-gram with any profile. Where no document is
-    labelled nothing can be told apart and only texts without letters go.
+    Rejected are texts that are null, hold no letter, or score less than LEAST against every profile. Where no
+    document is labelled nothing can be told apart and only texts without letters go.
     """
     profiles = fit(docs.where(~held_out()))
     if profiles.names:
-        names = "_told_language", "_told_score"
-        return predict(docs, profiles, names=names).where((F.col(names[0]) != "und") & (F.col(names[1]) > 0)).select(*docs.columns)
+        names = unused("language", docs), unused("score", docs)
+        return predict(docs, profiles, names=names).where((F.col(names[0]) != "und") & (F.col(names[1]) >= LEAST)).select(*[F.col(f"`{c}`") for c in docs.columns])
     return docs.where(F.col("text").rlike(r"\p{L}"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.components import components
-from quillon.llm.words import hashed, mixed, runs, text_bytes
+from quillon.llm.words import hashed, mixed, runs, text_bytes, unused
 from quillon.session import table, written
 
 #: Fixed sizes, whatever the corpus: bits that tell shingles of more than one class (16 MB), cells that tell how
@@ -355,13 +355,15 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component of near copies (five words, 0.8 or more) one document stays.
 
-    It is the component's first row in the order of the stored table, so of repeated rows one stays too. Documents
+    It is the component's first row in the order in which the rows are numbered, which is written before it is used, so
+    a later scan in other splits changes nothing; of repeated rows one stays too. Documents
     that are null or without words are linked with nothing and all stay. Columns are those of docs.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = join(numbered, id_col="_row", shingle=5, percent=80, count_links=False)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_row"))
-    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
+    row = unused("row", docs)
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = join(numbered, id_col=row, shingle=5, percent=80, count_links=False)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 OP7_SQL = r"""

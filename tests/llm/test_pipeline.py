@@ -84,3 +84,26 @@ def test_pipeline(spark, tmp_path):
 def test_pipeline_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Columns named like those that stages use inside pass through, values and all."""
+    names = ["row", "score", "language", "_row", "cls", "doc", "own", "marks", "label", "text_hash", "n", "a", "b", "token"]
+    filler = ["le chat noir dort sur la table", "the black cat sleeps on the table", "die schwarze Katze schläft auf dem Tisch"]
+    rows = [(i, f"{filler[i % 3]} {' '.join(f'mot{(i * 7 + j) % 50}' for j in range(8))}", "fr en de".split()[i % 3], "s", 1, *[f"{n}{i}" for n in names]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    want = {r[0]: r[5:] for r in rows}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.schema.names == docs.columns
+        got = out.collect()
+        assert got and all(tuple(r[n] for n in names) == want[r["doc_id"]] for r in got)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").where("doc_id is null").count() == 0
+
+
+def test_language_stage_rejects(spark):
+    """Texts without letters, null texts and texts in a script that no learned language has go; others stay."""
+    rows = [(i, f"{'the black cat sleeps on the table and the dog' if i % 2 else 'le chat noir dort sur la table avec le chien'} {i}", "en" if i % 2 else "fr", "s", 1) for i in range(40)]
+    rows += [(100, "Το μαύρο γατάκι κοιμάται πάνω στο τραπέζι a", None, "s", 1), (101, "12 34", None, "s", 1), (102, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.STAGES[0][1](spark, docs, "").collect()) == list(range(40))
