@@ -30,6 +30,8 @@ GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9\x20-]{12}", "
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Characters beside an entity that are its context, and the distinct texts a pair must share.
 CONTEXT, SUPPORT = 120, 2
+#: Values whose document counts are broadcast: those of most documents, so many at most.
+HOT = 256
 #: Share of an entity's information that a term may reveal.
 DISCLOSURE = 0.9
 WORD = r"\p{L}{3,}+"
@@ -154,7 +156,10 @@ def disclosing(texts: DataFrame, found: DataFrame, *, support: int = SUPPORT, di
     pairs = written(by_text.groupBy("value", "term").agg(F.count("*").alias("texts"), F.sum("docs").alias("together")), "pairs")
     counts = written(texts.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term")), "terms")
     of = found.select("rid", F.explode(F.array_distinct(F.flatten("entities.levels"))).alias("value")).groupBy("value").agg(F.count("*").alias("with_value"))
-    joined = pairs.where(F.col("texts") >= support).join(counts, "term").join(of, "value")
+    # The values of most documents (the kinds among them) have the most pairs: their counts go to the pairs, not to a task.
+    hot = of.orderBy(F.desc("with_value"), "value").limit(HOT)
+    known = pairs.where(F.col("texts") >= support).join(counts, "term").join(F.broadcast(hot), "value", "left")
+    joined = known.where("with_value is not null").unionByName(known.where("with_value is null").drop("with_value").join(of, "value"))
     content = -F.log2(F.col("with_value") / n)
     reveals = F.log2(F.col("together") / F.col("with_term")) + content
     over = joined.withColumn("content", content).where((F.col("content") > 0) & (reveals >= disclosure * F.col("content"))).withColumn("begin", F.substring("term", 1, 3))
