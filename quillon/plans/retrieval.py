@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from quillon.operators import nodes as ops
 from quillon.operators import rank, route, search
 from quillon.plans import sql
-from quillon.session import table
+from quillon.session import spread, table, written
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def _asked(nodes: DataFrame) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.col("text").alias("content"))
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.col("text").alias("content")))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +29,9 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = ops.fixed_size(ops.roots(table(spark, sf_dir, "documents")))
-    return cut.select((F.col("sources")[0].cast("long") * 100_000 + F.col("ordinal")).alias("node_id"), F.col("sources")[0].alias("parent"), "ordinal", "content")
+    cut = ops.fixed_size(ops.roots(spread(table(spark, sf_dir, "documents"))))
+    chunks = cut.select((F.col("sources")[0].cast("long") * 100_000 + F.col("ordinal")).alias("node_id"), F.col("sources")[0].alias("parent"), "ordinal", "content")
+    return written(chunks, "chunks")
 
 
 def _whole(hits: DataFrame) -> DataFrame:
