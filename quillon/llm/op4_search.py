@@ -20,7 +20,7 @@ from quillon.session import table, written
 
 K1, B = 1.2, 0.75
 #: Documents whose postings share a maximum, and the blocks that a query takes in its first turn in a shard.
-BLOCK, FIRST = 64, 2
+BLOCK, FIRST = 64, 8
 #: Documents of a shard, at most, and queries that are scored together.
 SHARD, TOGETHER = 5000, 128
 #: Query terms that are searched for in one pass over the index, about, and queries, at most.
@@ -133,17 +133,17 @@ class _Shard:
         common = np.flatnonzero((np.diff(self.starts) * 16 >= n) & (weight > 0))
         self.row = np.full(len(self.terms), -1)
         self.row[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), n))
+        self.dense = np.zeros((self.blocks, len(common), BLOCK))
         for r, t in enumerate(common.tolist()):
             a, b = self.starts[t], self.starts[t + 1]
-            self.dense[r, self.docs[a:b]] = self.scores[a:b]
-        self.dense_most = np.maximum.reduceat(self.dense, np.arange(0, n, BLOCK), axis=1) if len(common) else np.zeros((0, self.blocks))
+            self.dense[block[a:b], r, self.docs[a:b] % BLOCK] = self.scores[a:b]
+        self.dense_most = self.dense.max(axis=2).T
         #: Blocks that were scored for some query, and those that a query has terms in.
         self.scored = self.there = 0
 
     def search(self, queries: list[np.ndarray], held: list[list[tuple[float, int]]], k: int) -> list[list[tuple[float, int]]]:
         """For each query (places of its terms) the k best of those held and of this shard, as (-score, id)."""
-        asked = np.zeros((len(queries), len(self.dense)))
+        asked = np.zeros((len(queries), len(self.dense_most)))
         rare = []
         least = np.array([-h[-1][0] if len(h) == k else 0.0 for h in held])
         alive = np.array([self.term_most[found].sum() >= x - 2 * 10.0**-PLACES for found, x in zip(queries, least.tolist())], bool)
@@ -159,7 +159,7 @@ class _Shard:
         bound[~alive] = 0
         order = np.argsort(-bound, axis=1, kind="stable")
         bound = np.take_along_axis(bound, order, axis=1)
-        scores = np.zeros((len(queries), len(self.ids)))
+        scores = np.zeros((len(queries), self.blocks, BLOCK))
         out = list(held)
         at, step = 0, FIRST
         while at < self.blocks:
@@ -171,16 +171,16 @@ class _Shard:
             by = np.argsort(block, kind="stable")
             cut = [0, *(np.flatnonzero(np.diff(block[by])) + 1).tolist(), len(by)]
             for a, b in zip(cut, cut[1:]):
-                docs = slice(int(block[by[a]]) * BLOCK, (int(block[by[a]]) + 1) * BLOCK)
-                scores[who[by[a:b]], docs] = asked[who[by[a:b]]] @ self.dense[:, docs]
+                scores[who[by[a:b]], block[by[a]]] = asked[who[by[a:b]]] @ self.dense[block[by[a]]]
             mine = np.zeros((len(queries), self.blocks), bool)
             mine[who, block] = True
             for i in np.unique(who).tolist():
                 cells = rare[i][mine[i][self.cell_block[rare[i]]]]
+                own = scores[i].ravel()[: len(self.ids)]
                 if len(cells):
                     near = _spread(self.cells[cells], self.cells[cells + 1])
-                    scores[i] += np.bincount(self.docs[near], self.scores[near], len(self.ids))
-                out[i] = sorted(held[i] + self.best(scores[i], k, least[i]))[:k]
+                    own += np.bincount(self.docs[near], self.scores[near], len(self.ids))
+                out[i] = sorted(held[i] + self.best(own, k, least[i]))[:k]
                 if len(out[i]) == k:
                     least[i] = -out[i][-1][0]
             at, step = at + step, 2 * step
