@@ -25,6 +25,9 @@ MOST, VERIFY = 4, 20.0
 LONG = 16
 #: Members of a long list that a block of its pairs holds on one side, about.
 BLOCK = 1000
+#: Tasks that the members of one list are dealt over where each is held against one row; a long list has LONG members
+#: at least, so that row is sent no oftener than half of these.
+DEAL = 8
 _POST = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<i4"), ("own", "<i4"), ("pos", "<i4"), ("ask", "<i4")])
 _SEEN = np.dtype([("doc_id", "<i8"), ("known", "<i8"), ("cls", "<i8"), ("n", "<i8")])
 
@@ -268,10 +271,16 @@ def _enough(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.max("ask").alias("ask")).where("matches >= ask")
 
 
+def _dealt(members: DataFrame, of_token: DataFrame) -> DataFrame:
+    """members joined with what there is one row of for each token; a token's members are dealt over DEAL tasks."""
+    salted = members.withColumn("deal", F.pmod(F.xxhash64("cls"), F.lit(DEAL)).cast("int"))
+    return salted.join(of_token.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1)))), ["token", "deal"]).drop("deal")
+
+
 def _connecting(short: DataFrame, long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Verified links (a, b) that connect what all links connect: long lists by way of their leaders."""
     leaders = long.groupBy("token").agg(F.min(F.struct("own", "pos", "cls", "n")).alias("lead"))
-    to_leader = long.join(leaders, "token").where(
+    to_leader = _dealt(long, leaders).where(
         f"""cls <> lead.cls and least(n, lead.n) * 100L >= greatest(n, lead.n) * {percent}L
         and least(n - own, lead.n - lead.own) >= ceil({percent} * (n + lead.n) / {100 + percent}.0)"""
     )
@@ -280,7 +289,7 @@ def _connecting(short: DataFrame, long: DataFrame, sets: DataFrame, percent: int
     grouped = long.join(group, "cls", "left").withColumn("lead", F.coalesce("lead", "cls"))
     grouped = written(grouped, "grouped")
     most = grouped.groupBy("token", "lead").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "lead")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
-    inside = grouped.join(most.select("token", F.col("most.lead").alias("most")), "token")
+    inside = _dealt(grouped, most.select("token", F.col("most.lead").alias("most")))
     apart = inside.where("lead <> most").alias("x").join(inside.alias("y"), F.expr("x.token = y.token and x.lead <> y.lead and (y.lead = y.most or x.cls < y.cls)") & _fits("x", "y", percent))
     crossed = apart.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.least("x.ask", "y.ask").alias("ask"), F.lit(1).alias("matches"))
     return _verified(_enough(short.union(crossed)), sets, percent).union(stars)
