@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -45,19 +46,34 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode an own one where that is unset.
+
+    On a cluster the setting is required: each machine would write to its own disk.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN:
         _OWN[key] = "file://" + tempfile.mkdtemp(prefix="quillon-")
     return _OWN[key]
 
 
+def _folder(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), "quillon", spark.sparkContext.applicationId)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; results that have not been stored yet need them still."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and outlives executors."""
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "quillon", f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(_folder(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
