@@ -37,15 +37,13 @@ class Engine:
     def index(self, documents: DataFrame) -> None:
         """Add documents. Equal chunks are one node with the sources of all; the last write's content stands."""
         new = self.prepare(documents)
+        columns = new.columns
+        new = new.withColumn("turn", F.lit(1))
         try:
-            new = self.targets.read(self.spark).unionByName(new)
+            new = self.targets.read(self.spark).withColumn("turn", F.lit(0)).unionByName(new)
         except ValueError:
             pass
-        merged = new.groupBy("id").agg(
-            *[F.first(c).alias(c) for c in new.columns if c not in ("id", "sources")],
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"),
-        )
-        self._switch(merged.select(new.columns))
+        self._switch(store.merged(new, "turn").select(columns))
 
     def delete(self, sources: DataFrame) -> None:
         """Remove sources (source): a node keeps its other sources and goes with its last."""

@@ -52,12 +52,20 @@ def reciprocal_rank(hits: DataFrame, k: int = 60, weights: Mapping[str, float] |
     return _ranked(fused.withColumn("score", F.round("score", 9)), F.desc("score"), F.col("seen"), F.col("node_id"), top_k=top_k).drop("seen")
 
 
+def evidence(hits: DataFrame) -> DataFrame:
+    """(query_id, node_id, evidence): what each arm said of a node before fusion, as array<struct<list_idx,arm,score,rank>>
+    in the order of the arms; arms are few, so the array is short."""
+    said = F.struct("list_idx", "arm", "score", F.col("rank").cast("int").alias("rank"))
+    return hits.groupBy("query_id", "node_id").agg(F.array_sort(F.collect_list(said)).alias("evidence"))
+
+
 def normalized_scores(hits: DataFrame, weights: Mapping[str, float] | None = None, top_k: int | None = None) -> DataFrame:
     """Sum of weighted scores scaled to 0..1 within each list; a list of equal scores scales to 1."""
     own = Window.partitionBy("query_id", "list_idx")
     low, high = F.min("score").over(own), F.max("score").over(own)
-    finite = F.when(F.isnan("score"), F.raise_error(F.lit("a score is not finite")).cast("double")).otherwise(F.col("score"))
-    scaled = hits.withColumn("norm", F.when(high == low, F.lit(1.0)).otherwise((finite - low) / (high - low)))
+    refused = F.raise_error(F.lit("a score is not finite")).cast("double")
+    scale = F.when(F.isnan("score") | (F.abs("score") == float("inf")), refused).when(high == low, F.lit(1.0)).otherwise((F.col("score") - low) / (high - low))
+    scaled = hits.withColumn("norm", scale)
     fused = scaled.groupBy("query_id", "node_id").agg(F.round(F.sum(_weight(weights) * F.col("norm")), 9).alias("score"), F.min(F.struct("list_idx", "rank")).alias("seen"))
     return _ranked(fused, F.desc("score"), F.col("seen"), F.col("node_id"), top_k=top_k).drop("seen")
 

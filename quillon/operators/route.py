@@ -190,3 +190,30 @@ def parse_boolean(text: str, depth: int = 3):
     if at != len(parts):
         raise ValueError(f"unexpected {parts[at]}")
     return tree
+
+
+def always(queries: DataFrame, route: str) -> DataFrame:
+    """(query_id, route): one route for every question."""
+    return queries.select("query_id", F.lit(route).alias("route"))
+
+
+def offered(catalogue: Sequence[dict], ready: Sequence[str], roles: Sequence[str], tokens_known: bool) -> tuple[list[str], dict[str, str]]:
+    """(names of the routes that can be taken, why each other one cannot).
+
+    A route is {name, summary, layers, roles, counts_tokens}: it needs a summary, its layers ready, its roles mapped
+    to models and, where it counts tokens, a corpus whose tokens are known.
+    """
+    may, why = [], {}
+    for r in catalogue:
+        missing = [x for x in r.get("layers", ()) if x not in ready], [x for x in r.get("roles", ()) if x not in roles]
+        if not r.get("summary"):
+            why[r["name"]] = "no summary"
+        elif missing[0]:
+            why[r["name"]] = f"not ready: {', '.join(missing[0])}"
+        elif missing[1]:
+            why[r["name"]] = f"no model for: {', '.join(missing[1])}"
+        elif r.get("counts_tokens") and not tokens_known:
+            why[r["name"]] = "tokens are not known"
+        else:
+            may.append(r["name"])
+    return may, why

@@ -304,3 +304,32 @@ def term_match(queries: DataFrame, nodes: DataFrame, every: bool = False, k: int
         return np.where((scores > 0) & (scores >= (has.sum(axis=0) if every else 1)), scores, -np.inf)
 
     return _hits(source, queries, ((ids, _asked(sets)) for ids, sets in _term_blocks(queries)), score, k)
+
+
+def text_rank(queries: DataFrame, nodes: DataFrame, k: int = 20, *, normalization: int = 0, index: DataFrame | None = None) -> DataFrame:
+    """(query_id, node_id, score, rank): nodes that hold any term of a question, by frequency rank.
+
+    A term that stands n times counts 0.1 * (1 + 1/4 + ... + 1/n**2) * 6 / pi**2, and the sum is divided by the
+    question's terms. normalization, a sum of: 1 divides by log2(length + 1), 2 by the length, 8 by the distinct terms,
+    16 by log2(distinct terms + 1), 32 by itself plus one, in this order.
+    """
+    if normalization & ~59:
+        raise ValueError("normalization is a sum of 1, 2, 8, 16 and 32")
+    source = _lowered(nodes) if index is None else index
+
+    def score(what: tuple, batch: pa.RecordBatch) -> np.ndarray:
+        terms, has = what
+        batch = _counted(batch)
+        node, term, tf = _found(batch, pa.array(terms, pa.string()))
+        squares = np.concatenate(([0.0], np.cumsum(1 / np.arange(1, int(tf.max(initial=0)) + 1) ** 2)))
+        scores = _product(node, term, 0.1 * squares[tf.astype(int)] / 1.64493406685, has / np.maximum(has.sum(axis=0), 1), batch.num_rows)
+        length, distinct = (np.maximum(x.to_numpy(zero_copy_only=False), 1)[:, None] for x in (batch.column("length"), pc.list_value_length(batch.column("terms"))))
+        for bit, by in ((1, np.log2(length + 1)), (2, length), (8, distinct), (16, np.log2(distinct + 1))):
+            if normalization & bit:
+                scores = scores / by
+        if normalization & 32:
+            scores = scores / (scores + 1)
+        scores = np.round(scores, 9)
+        return np.where(scores > 0, scores, -np.inf)
+
+    return _hits(source, queries, ((ids, _asked(sets)) for ids, sets in _term_blocks(queries)), score, k)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,20 @@ from pyspark.sql import functions as F
 def upsert(stored: DataFrame, written: DataFrame) -> DataFrame:
     """Nodes (id, content, sources) after a write: content is replaced, sources become the union."""
     both = stored.select("id", "content", "sources", F.lit(0).alias("seq")).unionByName(written.select("id", "content", "sources", F.lit(1).alias("seq")))
-    return both.groupBy("id").agg(F.max_by("content", "seq").alias("content"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+    return merged(both, "seq").select("id", "content", "sources")
+
+
+def merged(nodes: DataFrame, last: str) -> DataFrame:
+    """Nodes of which several rows may have an id: the row with the greatest `last` stands, with the sources of all.
+
+    Sources are made distinct in every task before they are exchanged, so a text of many copies costs a row a source
+    and task.
+    """
+    rest = [c for c in nodes.columns if c not in ("id", "sources")]
+    newest = nodes.groupBy("id").agg(F.max_by(F.struct(*rest), last).alias("row"))
+    each = nodes.select("id", F.explode("sources").alias("source")).distinct().groupBy("id").agg(F.array_sort(F.collect_list("source")).alias("sources"))
+    none = F.array().cast(nodes.schema["sources"].dataType)
+    return newest.join(each, "id", "left").select("id", *[F.col("row")[c].alias(c) for c in rest], F.coalesce("sources", none).alias("sources"))
 
 
 def productions(nodes: DataFrame) -> DataFrame:
@@ -55,6 +69,44 @@ def changes(inventory: DataFrame, catalogue: DataFrame, pipeline: str) -> DataFr
     return j.select(F.coalesce("a.id", "b.id").alias("id"), change.alias("change"))
 
 
+def catalogue_put(catalogue: DataFrame, records: DataFrame) -> DataFrame:
+    """The catalogue (id, ...) with records of the same columns put in, each in place of the one of its id."""
+    return catalogue.join(records.select("id"), "id", "left_anti").select(records.columns).unionByName(records)
+
+
+def release(made: DataFrame, catalogue: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(touched nodes as of `delete_sources`, the catalogue without them): what vanished or was reparsed lets its nodes go.
+
+    found (id, change) is what `changes` told. Reparsed sources stay in the catalogue, as being indexed.
+    """
+    gone = found.where(F.col("change").isin("vanished", "content_changed", "pipeline_changed"))
+    touched = delete_sources(made, gone.select(F.col("id").cast("string").alias("source")))
+    kept = catalogue.join(gone.select("id", "change"), "id", "left").where(F.coalesce(F.col("change") != "vanished", F.lit(True)))
+    status = F.when(F.col("change").isNotNull(), "indexing").otherwise(F.col("status"))
+    return touched, kept.withColumn("status", status).select(catalogue.columns)
+
+
+def corpus_profile(catalogue: DataFrame, context_tokens: int | None = None) -> DataFrame:
+    """One row that says what a corpus is: documents, leaves, leaf_tokens, sources_pending, sources_failed, base_complete,
+    fits_context. What is not known is null, never zero.
+
+    catalogue (id, status, leaves, tokens, tokenizer). Leaves and tokens are known where every active source has them;
+    tokens of several tokenizers are no sum.
+    """
+    active = F.col("status") == "active"
+    known = lambda c: (F.count_if(active) > 0) & (F.count_if(active & F.col(c).isNull()) == 0)
+    one = F.size(F.collect_set(F.when(active, F.col("tokenizer")))) == 1
+    out = catalogue.agg(
+        F.count_if(active).alias("documents"),
+        F.when(known("leaves"), F.sum(F.when(active, F.col("leaves")))).alias("leaves"),
+        F.when(known("tokens") & known("tokenizer") & one, F.sum(F.when(active, F.col("tokens")))).alias("leaf_tokens"),
+        F.count_if(F.col("status") == "indexing").alias("sources_pending"),
+        F.count_if(F.col("status") == "failed").alias("sources_failed"),
+    )
+    complete = (F.col("documents") > 0) & (F.col("sources_pending") == 0) & (F.col("sources_failed") == 0)
+    return out.select("*", complete.alias("base_complete"), (F.col("leaf_tokens") <= F.lit(context_tokens).cast("long")).alias("fits_context"))
+
+
 def coverage(catalogue: DataFrame) -> DataFrame:
     """(status, sources): how many sources stand where."""
     return catalogue.groupBy("status").agg(F.count("*").alias("sources"))
@@ -127,20 +179,47 @@ class Targets:
 
 
 class WriterClaim:
-    """One writer at a time: a lock file that a second writer finds and is refused by."""
+    """One writer at a time: a lock file that a second writer finds and is refused by, until its lease has run out.
 
-    def __init__(self, path: str) -> None:
-        self.path = path
+    A writer that works longer than its lease renews it; one that was killed blocks others for one lease.
+    """
+
+    def __init__(self, path: str, lease: float = 3600.0) -> None:
+        self.path, self.lease, self.token = path, lease, uuid.uuid4().hex
+
+    def _holder(self) -> str:
+        try:
+            with open(self.path) as f:
+                return f.read()
+        except FileNotFoundError:
+            return ""
 
     def __enter__(self) -> WriterClaim:
+        own = f"{self.path}.{self.token}"
+        with open(own, "w") as f:
+            f.write(self.token)
         try:
-            os.close(os.open(self.path, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            os.link(own, self.path)
         except FileExistsError:
-            raise RuntimeError(f"another writer holds {self.path}") from None
+            if time.time() - os.path.getmtime(self.path) <= self.lease:
+                raise RuntimeError(f"another writer holds {self.path}") from None
+            os.replace(own, self.path)
+        finally:
+            if os.path.exists(own):
+                os.unlink(own)
+        if self._holder() != self.token:
+            raise RuntimeError(f"another writer holds {self.path}")
         return self
 
+    def renew(self) -> None:
+        """Start the lease anew; refused where another writer has taken over."""
+        if self._holder() != self.token:
+            raise RuntimeError(f"another writer holds {self.path}")
+        os.utime(self.path)
+
     def __exit__(self, *_) -> None:
-        os.unlink(self.path)
+        if self._holder() == self.token:
+            os.unlink(self.path)
 
 
 def one_width(vectors: Column) -> Column:
@@ -190,6 +269,33 @@ def set_generation(generations: DataFrame, generation: str, status: str) -> Data
     return generations.withColumn("published_at", at).withColumn("status", F.when(mine, status).otherwise(F.col("status")))
 
 
+def bind(nodes: DataFrame, generation: str) -> DataFrame:
+    """Nodes (generations, ...) as members of one more generation."""
+    return nodes.withColumn("generations", F.array_sort(F.array_union("generations", F.array(F.lit(generation)))))
+
+
+def carry_forward(nodes: DataFrame, old: str, new: str, changed: DataFrame) -> DataFrame:
+    """Nodes of which those of the old generation whose sources (changed: source) have not changed join the new one."""
+    touched = nodes.select("id", F.explode("sources").alias("source")).join(changed, "source", "left_semi").select("id").distinct().withColumn("touched", F.lit(True))
+    marked = nodes.join(touched, "id", "left")
+    joins = F.array_contains("generations", old) & F.col("touched").isNull()
+    return marked.withColumn("generations", F.when(joins, F.array_sort(F.array_union("generations", F.array(F.lit(new))))).otherwise(F.col("generations"))).select(nodes.columns)
+
+
+def retract(nodes: DataFrame, generation: str) -> DataFrame:
+    """Nodes without a generation's membership; a node that was in no other goes."""
+    was = F.array_contains("generations", generation)
+    left = F.array_remove("generations", generation)
+    return nodes.where(~(was & (F.size(left) == 0))).withColumn("generations", left)
+
+
+def reclaim(nodes: DataFrame, generations: DataFrame) -> DataFrame:
+    """Nodes that readers can still see: in no generation at all, or in the newest published one of some layer."""
+    alive = newest_published(generations).select(F.col("id").alias("generation"))
+    each = nodes.select("id", F.explode("generations").alias("generation")).join(alive, "generation", "left_semi").select("id").distinct().withColumn("seen", F.lit(True))
+    return nodes.join(each, "id", "left").where(F.col("seen") | (F.size("generations") == 0)).select(nodes.columns)
+
+
 def hidden_generations(generations: DataFrame) -> DataFrame:
     """(id): generations that readers do not see: all but the newest published of each layer."""
     return generations.join(newest_published(generations).select("id"), "id", "left_anti").select("id")

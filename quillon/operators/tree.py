@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.session import written
+
 
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-300)
@@ -92,3 +95,53 @@ def join_clusters(new: DataFrame, made: DataFrame, size: int, threshold: float)
         return pd.DataFrame(rows, columns=["node_id", "cluster"])
 
     return new.groupBy("scope").cogroup(made.groupBy("scope")).applyInPandas(run, "node_id string, cluster int")
+
+
+def _summary(summarise: Callable[[Sequence[str]], str], embed: Callable[[str], Sequence[float]], level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """What makes the summary node of one cluster's nodes."""
+
+    def told(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node_id")
+        parents = pdf["node_id"].tolist()
+        text = summarise(pdf["content"].tolist())
+        name = hashlib.sha256("\0".join([text, *parents]).encode()).hexdigest()
+        return pd.DataFrame([(pdf["scope"].iloc[0], name, level, parents, text, [float(x) for x in embed(text)])], columns=["scope", "node_id", "level", "parents", "content", "vector"])
+
+    return told
+
+
+def build(leaves: DataFrame, summarise: Callable[[Sequence[str]], str], embed: Callable[[str], Sequence[float]], *, size: int | None = None, threshold: float | None = None, levels: int = 8, max_leaves: int = 5000) -> DataFrame:
+    """(scope, node_id, level, parents, content, vector) of the summary nodes above leaves (scope, node_id, content, vector).
+
+    Each level clusters the nodes of the level below and writes a summary of every cluster of two or more; a node's
+    parents are what it summarises, its id is the digest of its text and parents, its level one above theirs. It ends
+    at a level without clusters, or after `levels`. A leaf without a vector is refused. Summaries of a cluster depend
+    on that cluster alone and are made where it lies.
+    """
+    spark = leaves.sparkSession
+    schema = "scope string, node_id string, level int, parents array<string>, content string, vector array<double>"
+    vector = F.when(F.col("vector").isNull(), F.raise_error(F.concat(F.lit("no vector: "), "node_id")).cast("array<double>")).otherwise(F.col("vector").cast("array<double>"))
+    below = leaves.select("scope", "node_id", "content", vector.alias("vector"))
+    out = spark.createDataFrame([], schema)
+    for level in range(1, levels + 1):
+        members = cluster(below.withColumn("chars", F.length("content")), size, threshold, max_leaves)
+        made = written(members.join(below, ["scope", "node_id"]).groupBy("scope", "cluster").applyInPandas(_summary(summarise, embed, level), schema), "summaries")
+        if made.isEmpty():
+            break
+        out = out.unionByName(made)
+        below = made.select("scope", "node_id", "content", "vector")
+    return out
+
+
+def outdated(made: DataFrame, joined: DataFrame) -> DataFrame:
+    """(node_id): the summaries (node_id, parents) that new members (node_id, cluster) leave outdated, up to the root.
+
+    The clusters that were joined first, then level by level what summarises an outdated one.
+    """
+    up = made.select(F.col("node_id").alias("above"), F.explode("parents").alias("node_id"))
+    found = written(joined.where("cluster is not null").select(F.col("cluster").alias("node_id")).distinct(), "outdated")
+    out = found
+    while not found.isEmpty():
+        found = written(up.join(found, "node_id").select(F.col("above").alias("node_id")).distinct().join(out, "node_id", "left_anti"), "outdated")
+        out = out.union(found)
+    return out

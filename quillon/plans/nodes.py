@@ -20,6 +20,19 @@ def _cleaner(name: str):
     return query
 
 
+def filter_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions on text fields: there, not a value, one of several."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.col("lang").alias("media_type"), F.col("source").alias("id"))
+    tree = {"op": "and", "clauses": [
+        {"op": "exists", "field": "content"}, {"op": "ne", "field": "content", "value": ""},
+        {"op": "or", "clauses": [
+            {"op": "in", "field": "media_type", "value": ["de", "es"]}, {"op": "not", "clauses": [{"op": "exists", "field": "media_type"}]},
+            {"op": "eq", "field": "id", "value": "src2"},
+        ]},
+    ]}
+    return filters.matching(docs, tree).select("doc_id")
+
+
 def root_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", root_id(F.col("text")).alias("node_id"))
 
@@ -128,6 +141,7 @@ PLANS = {
         SELECT region::BIGINT AS region, ordinal, content, {sql.node_id('content', ['region::VARCHAR'], 'ordinal')} AS node_id FROM r"""),
     "render_conversations": (render_conversations, "SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id"),
     "filter_tree": (filter_tree, "SELECT doc_id, lang, source FROM documents WHERE lang IN ('de', 'fr') AND n_chars > 500 AND (source IS DISTINCT FROM 'src0' OR n_chars <= 900) AND NOT coalesce(source = 'src3', false)"),
+    "filter_text": (filter_text, "SELECT doc_id FROM documents WHERE text IS NOT NULL AND text IS DISTINCT FROM '' AND (lang IN ('de', 'es') OR lang IS NULL OR source = 'src2')"),
     "filter_lineage": (filter_lineage, f"""
         WITH n AS (SELECT {sql.node_id('text', [], '0')} AS id, list_sort(list(DISTINCT source)) AS sources FROM documents GROUP BY 1)
         SELECT id, array_to_string(sources, ',') AS sources FROM n WHERE list_has_any(sources, ['src1', 'src2', 'src3']) AND NOT list_contains(sources, 'src0')"""),

@@ -104,7 +104,7 @@ def rerank_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rerank_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _vectors(spark, sf_dir)
     asked = _asked(nodes)
-    hits = search.vector_top_k(asked, nodes, 20).join(nodes.select("node_id", "vector"), "node_id").join(F.broadcast(asked.select("query_id", F.col("vector").alias("asked"))), "query_id")
+    hits = search.vector_top_k(asked, nodes, 20).join(nodes.select("node_id", "vector"), "node_id").join(asked.select("query_id", F.col("vector").alias("asked")), "query_id")
     return _whole(rank.mmr(hits, top_n=10))
 
 
@@ -137,9 +137,23 @@ def whole_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, in the order of source and id, while the corpus is within the bound on words."""
     docs = table(spark, sf_dir, "documents")
     size = docs.agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))))).first()[0]
-    if size > 1_000_000_000:
+    if (size or 0) > 1_000_000_000:
         raise ValueError("the corpus is larger than the bound")
-    return docs.select("source", "doc_id", F.lit(1.0).alias("score"))
+    return docs.orderBy(F.col("source").asc_nulls_last(), F.col("doc_id").asc_nulls_last()).select("source", "doc_id", F.lit(1.0).alias("score"))
+
+
+def rank_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequency rank, divided by the logarithm of the length and scaled below 1."""
+    return _whole(search.text_rank(_questions(spark, sf_dir), _texts(spark, sf_dir), 10, normalization=33))
+
+
+def fusion_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = rank.evidence(_arms(spark, sf_dir))
+    return said.select("query_id", "node_id", F.array_join(F.transform("evidence", lambda e: F.concat(e["arm"], F.lit(":"), e["rank"].cast("string"))), ",").alias("evidence"))
+
+
+def always_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return route.always(_questions(spark, sf_dir), "hybrid")
 
 
 def no_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,6 +270,17 @@ PLANS = {
         k AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM p WHERE spent <= 400)
         SELECT query_id, node_id, score, rank::INT AS rank, (CASE WHEN rank % 2 = 0 THEN rank // 2 + 1 ELSE n - (rank - 1) // 2 END)::INT AS label FROM k"""),
     "whole_corpus": (whole_corpus, "SELECT source, doc_id, 1.0::DOUBLE AS score FROM documents"),
+    "rank_documents": (rank_documents, f"""
+        WITH {_Q}, t AS (SELECT node_id, unnest(regexp_extract_all(lower(content), '{sql.TOKEN}')) AS term FROM texts),
+        tf AS (SELECT node_id, term, count(*) AS n FROM t GROUP BY ALL), l AS (SELECT node_id, sum(n) AS length FROM tf GROUP BY ALL),
+        h AS (SELECT n, (SELECT sum(1.0::DOUBLE / (i * i)) FROM range(1, n + 1) r(i)) AS h FROM (SELECT DISTINCT n FROM tf)),
+        q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '{sql.TOKEN}')) AS term FROM questions),
+        s AS (SELECT query_id, tf.node_id, sum(0.1::DOUBLE * h / 1.64493406685::DOUBLE) / any_value(size) / log2(any_value(length) + 1) AS x
+            FROM q JOIN tf USING (term) JOIN h USING (n) JOIN l ON l.node_id = tf.node_id JOIN (SELECT query_id, count(*) AS size FROM q GROUP BY ALL) USING (query_id) GROUP BY ALL),
+        r AS (SELECT query_id, node_id, round(x / (x + 1), 9) AS score FROM s)
+        SELECT query_id, node_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) - 1 AS rank FROM r) WHERE rank < 10"""),
+    "fusion_evidence": (fusion_evidence, f"WITH {_ARMS} SELECT query_id, node_id, string_agg(arm || ':' || rank, ',' ORDER BY list_idx) AS evidence FROM arms GROUP BY ALL"),
+    "always_route": (always_route, "SELECT item_id AS query_id, 'hybrid' AS route FROM benchmark"),
     "no_retrieval": (no_retrieval, "SELECT 0::BIGINT AS query_id, 0::BIGINT AS node_id, 0.0::DOUBLE AS score, 0::INT AS rank WHERE false"),
     "query_profile": (query_profile, f"WITH {_PROFILE} SELECT * FROM profile"),
     "query_anchors": (query_anchors, None),

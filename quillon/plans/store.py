@@ -61,6 +61,40 @@ def vector_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").agg(store.one_width(F.col("embedding")).alias("width"), F.count("*").alias("n"))
 
 
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a source: some pending, some of unknown size."""
+    docs = table(spark, sf_dir, "documents")
+    status = F.when(F.col("source") == "src6", "indexing").otherwise("active")
+    return docs.select(F.col("doc_id").alias("id"), status.alias("status"), F.lit(1).alias("leaves"), F.length("text").alias("tokens"), F.lit("characters").alias("tokenizer"), "lang")
+
+
+def corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by language: each one a corpus of its own."""
+    made = _catalogue(spark, sf_dir)
+    out = None
+    for lang in ("de", "en", "es", "fr"):
+        one = store.corpus_profile(made.where(F.col("lang") == lang), 1_000_000).withColumn("lang", F.lit(lang))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def released_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What documents that vanished or were reparsed let go: nodes by text, sources by id."""
+    docs = table(spark, sf_dir, "documents")
+    made = store.productions(docs.select(root_id(F.col("text")).alias("id"), F.array(F.col("doc_id").cast("string")).alias("sources")))
+    catalogue = docs.select(F.col("doc_id").alias("id"), F.lit("active").alias("status"))
+    touched, _ = store.release(made, catalogue, source_changes(spark, sf_dir))
+    return touched.select("node_id", F.array_join("sources", ",").alias("sources"), "deleted")
+
+
+def reclaimed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as nodes of the generation of their language; the newest published one of each layer stays."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array("lang").alias("generations"), F.array("source").alias("sources"))
+    kept = store.carry_forward(docs, "fr", "fr2", spark.createDataFrame([("src1",)], "source string"))
+    made = spark.createDataFrame([("de", "a", "published", 1), ("en", "a", "published", 2), ("es", "b", "building", 3), ("fr2", "c", "published", 4)], "id string, layer string, status string, published_at int")
+    return store.reclaim(kept, made).select("id", F.array_join("generations", ",").alias("generations"))
+
+
 _N = f"n AS (SELECT doc_id, {sql.node_id('text', [], '0')} AS id, text, source FROM documents)"
 _CHANGES = """
 known AS (SELECT doc_id + CASE WHEN toxic = 1 THEN 100000000 ELSE 0 END AS id, CASE WHEN lang = 'de' THEN 'old' ELSE md5(text) END AS content_hash,
@@ -78,5 +112,14 @@ PLANS = {
     "status_coverage": (status_coverage, f"WITH {_CHANGES} SELECT change AS status, count(*) AS sources FROM changes GROUP BY change"),
     "published_generations": (published_generations, "SELECT event_type AS layer, arg_max(event_id, (ts, event_id)) AS id FROM events WHERE value > 10 GROUP BY event_type"),
     "visible_nodes": (visible_nodes, "SELECT doc_id FROM documents WHERE lang = 'en' OR lang NOT IN ('de', 'fr') OR source NOT IN ('src1', 'src2')"),
+    "corpus_profile": (corpus_profile, """
+        WITH c AS (SELECT lang, count_if(source <> 'src6') AS documents, count_if(source = 'src6') AS sources_pending, sum(length(text)) FILTER (source <> 'src6') AS size FROM documents WHERE lang IN ('de', 'en', 'es', 'fr') GROUP BY lang)
+        SELECT lang, documents, CASE WHEN documents > 0 THEN documents END AS leaves, size::BIGINT AS leaf_tokens, sources_pending, 0::BIGINT AS sources_failed, documents > 0 AND sources_pending = 0 AS base_complete, size <= 1000000 AS fits_context FROM c"""),
+    "released_sources": (released_sources, f"""
+        WITH {_N}, {_CHANGES}, gone AS (SELECT id FROM changes WHERE change IN ('vanished', 'content_changed', 'pipeline_changed')),
+        t AS (SELECT n.id AS node_id, count(g.id) AS hit, list_sort(list(doc_id::VARCHAR) FILTER (g.id IS NULL)) AS kept FROM n LEFT JOIN gone g ON g.id = n.doc_id GROUP BY 1)
+        SELECT node_id, coalesce(array_to_string(kept, ','), '') AS sources, kept IS NULL OR len(kept) = 0 AS deleted FROM t WHERE hit > 0"""),
+    "reclaimed_nodes": (reclaimed_nodes, """
+        SELECT doc_id AS id, CASE WHEN lang = 'fr' THEN 'fr,fr2' ELSE lang END AS generations FROM documents WHERE lang = 'en' OR (lang = 'fr' AND source <> 'src1')"""),
     "vector_width": (vector_width, "SELECT max(len(embedding))::INT AS width, count(*) AS n FROM embeddings"),
 }

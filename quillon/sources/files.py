@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import tomllib
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +45,14 @@ def claimant(path: str, extractors: Mapping[str, Sequence[str]]) -> str:
     return claims[0]
 
 
+def settings(text: str, suffix: str) -> dict:
+    """The table that a configuration or question file holds, by its suffix (.toml or .json); anything else is refused."""
+    out = tomllib.loads(text) if suffix == ".toml" else json.loads(text) if suffix == ".json" else None
+    if not isinstance(out, dict):
+        raise ValueError(f"no table in a {suffix} file")
+    return out
+
+
 def page_text(html: Column) -> Column:
     """The visible text of a web page: scripts, styles, comments and tags off, common entities decoded, blanks collapsed."""
     x = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " ")
