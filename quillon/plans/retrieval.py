@@ -172,6 +172,12 @@ def query_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", "a.at", "a.text", "a.kind")
 
 
+def document_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The anchors of whole documents: numbers, addresses, keys and what they quote."""
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(route.anchors(F.col("text"))).alias("a"))
+    return found.select("doc_id", "a.at", "a.text", "a.kind")
+
+
 def threshold_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [("short", [("word_count", "<", 20)]), ("temporal", [("cue_temporal", "=", 1.0), ("word_count", ">=", 20)]), ("long", [("word_count", ">", 60)])]
     return route.ladder(query_profile(spark, sf_dir), rules, "usual").select("query_id", "route")
@@ -284,6 +290,7 @@ PLANS = {
     "no_retrieval": (no_retrieval, "SELECT 0::BIGINT AS query_id, 0::BIGINT AS node_id, 0.0::DOUBLE AS score, 0::INT AS rank WHERE false"),
     "query_profile": (query_profile, f"WITH {_PROFILE} SELECT * FROM profile"),
     "query_anchors": (query_anchors, None),
+    "document_anchors": (document_anchors, None),
     "threshold_ladder": (threshold_ladder, f"WITH {_PROFILE} SELECT query_id, CASE WHEN word_count < 20 THEN 'short' WHEN cue_temporal AND word_count >= 20 THEN 'temporal' WHEN word_count > 60 THEN 'long' ELSE 'usual' END AS route FROM profile"),
     "nearest_route": (nearest_route, f"""
         WITH r AS (SELECT label::VARCHAR AS route, arg_min(embedding, vec_id) AS told FROM embeddings GROUP BY label),
