@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import metrics
 from quillon.operators import search
 from quillon.plans import sql
-from quillon.session import table
+from quillon.session import spread, table
 
 
 def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn with the turn after it."""
-    t = table(spark, sf_dir, "conversations")
+    t = spread(table(spark, sf_dir, "conversations"))
     after = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reference"))
     return t.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("answer")).join(after, ["conv_id", "turn"])
 

@@ -9,13 +9,13 @@ from quillon.functions.identity import hash_embedding, root_id
 from quillon.operators import clean, filters
 from quillon.operators import nodes as ops
 from quillon.plans import sql
-from quillon.session import table
+from quillon.session import spread, table
 
 
 def _cleaner(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = clean.CLEANERS[name](F.col("text"))
-        return table(spark, sf_dir, "documents").select("doc_id", F.md5(text).alias("digest"))
+        return spread(table(spark, sf_dir, "documents")).select("doc_id", F.md5(text).alias("digest"))
 
     return query
 
@@ -38,24 +38,24 @@ def root_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ops.fixed_size(ops.roots(table(spark, sf_dir, "documents")))
+    out = ops.fixed_size(ops.roots(spread(table(spark, sf_dir, "documents"))))
     return out.select(F.col("sources")[0].cast("long").alias("doc_id"), F.col("ordinal"), F.col("start"), F.col("id").alias("node_id"), F.length("content").alias("size"))
 
 
 def cleaned_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean, then chunk: two stages fused into one scan."""
-    cleaned = clean.clean(clean.clean(ops.roots(table(spark, sf_dir, "documents")), "hyphenation"), "whitespace")
+    cleaned = clean.clean(clean.clean(ops.roots(spread(table(spark, sf_dir, "documents"))), "hyphenation"), "whitespace")
     out = ops.fixed_size(cleaned, size=300, overlap=30)
     return out.groupBy(F.col("sources")[0].cast("long").alias("doc_id")).agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("characters"), F.min("id").alias("first_id"))
 
 
 def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(hash_embedding(F.col("text"), 16)).alias("i", "x"))
+    vectors = spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(hash_embedding(F.col("text"), 16)).alias("i", "x"))
     return vectors.select("doc_id", "i", F.round("x", 12).alias("x"))
 
 
 def keyword_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(ops.keywords(F.col("text")), " ").alias("terms"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.array_join(ops.keywords(F.col("text")), " ").alias("terms"))
 
 
 def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
