@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm.vocab import encoder, rank_bytes
+from quillon.llm.vocab import encoder, ordinary, rank_bytes
 from quillon.session import table
 
 
@@ -61,13 +61,13 @@ class Monoid:
         p, q = self._left(a), self._right(b)
         keep = len(a_ids) - self._count(a_ids[::-1], len(a[p:].encode()))
         drop = self._count(b_ids, len(b[:q].encode()))
-        seam = np.array(self.enc.encode_ordinary(a[p:] + b[:q]), "<u4")
+        seam = np.array(ordinary(self.enc, a[p:] + b[:q]), "<u4")
         return np.concatenate((a_ids[:keep], seam, b_ids[drop:]))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text: halves recursively, joined upwards."""
         if len(text) <= self.leaf:
-            return np.array(self.enc.encode_ordinary(text), "<u4")
+            return np.array(ordinary(self.enc, text), "<u4")
         mid = len(text) // 2
         a, b = text[:mid], text[mid:]
         return self.join(a, self.encode(a), b, self.encode(b))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +15,10 @@ import tiktoken
 RANKS = "byte_bpe_50k.tiktoken"
 #: Its tokenizer file, which names the added tokens.
 NAMED = "byte_bpe_50k.json"
+#: The white space of the split pattern. A longer run than this is cut out before the pattern sees it.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONGEST = 10_000
+_LONG_RUN = re.compile(f"[{BLANKS}]{{{LONGEST},}}")
 _BUILT: dict[str, tuple] = {}
 
 
@@ -42,6 +47,28 @@ def encoder(raw: bytes, added: dict[str, int] | None = None) -> tuple[tiktoken.E
     return _BUILT[key]
 
 
+def ordinary(enc: tiktoken.Encoding, text: str) -> list[int]:
+    """Ids of a text without special tokens, however long its runs of white space are.
+
+    The split pattern takes a run as one match, but for its last character where something follows, which is left to
+    that. It looks back over the whole run to see this, and runs out of stack; so long runs are merged on their own.
+    """
+    out: list[int] = []
+    at = 0
+    for run in _LONG_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += enc.encode_ordinary(text[at : run.start()])
+        out += enc._encode_single_piece(text[run.start() : end].encode())
+        at = end
+    return out + enc.encode_ordinary(text[at:])
+
+
 def ids_of(enc: tiktoken.Encoding, text: str, named: bool = False) -> bytes:
     """Little-endian 32-bit ids of a text; names of special tokens are ordinary text unless `named`."""
-    return np.array(enc.encode(text, allowed_special="all") if named else enc.encode_ordinary(text), "<u4").tobytes()
+    if not named or not enc.special_tokens_set:
+        return np.array(ordinary(enc, text), "<u4").tobytes()
+    names = sorted(enc.special_tokens_set, key=len, reverse=True)
+    out: list[int] = []
+    for piece in re.split(f"({'|'.join(map(re.escape, names))})", text):
+        out += [enc.encode_single_token(piece)] if piece in enc.special_tokens_set else ordinary(enc, piece)
+    return np.array(out, "<u4").tobytes()
