@@ -4,7 +4,8 @@ A document is posted under each of its signature's (coordinate, value) pairs, an
 they share such a pair. Only pairs that collide at least `matches` times are of interest: each document's postings are
 ordered from the rarest, and two that collide so often meet within the first coordinates - matches + 1 of these, the
 prefix. What is beyond a prefix is skipped; there a candidate's collisions are counted on the two signatures alone.
-Pairs above the threshold are confirmed on whole sets.
+Pairs above the threshold are confirmed on whole sets. Of what meets, a set whose own shingles are too many for any
+partner is left out before pairs are formed, and the same counts bound the sizes of the partners of the others.
 """
 
 from __future__ import annotations
@@ -83,12 +84,42 @@ def _dealt(members: DataFrame, of_token: DataFrame) -> DataFrame:
     return salted.join(of_token.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1)))), ["token", "deal"]).drop("deal")
 
 
+def _need(x: str, y: str, percent: int) -> str:
+    """The members that two sets of sizes x and y must share."""
+    return f"ceil({percent} * ({x} + {y}) / {100 + percent}.0)"
+
+
 def _fits(x: str, y: str, percent: int, coordinates: int, matches: int) -> str:
-    """Whether two members of a list can be alike: by their sizes, and by the collisions that can stand before and after this one."""
-    return f"""least({x}.n, {y}.n) * 100L >= greatest({x}.n, {y}.n) * {percent}L
+    """Whether two members of a list can be alike: by the shingles that others have too, and by the collisions that can stand before and after this one."""
+    return f"""least({x}.n - {x}.alone, {y}.n - {y}.alone) >= {_need(f"{x}.n", f"{y}.n", percent)}
         AND least({x}.pos - {x}.own, {y}.pos - {y}.own) + {coordinates} - greatest({x}.pos, {y}.pos) >= {matches}"""
 
 
+def shared_enough(sets: DataFrame, percent: int) -> DataFrame:
+    """(cls, n, alone) of the classes (cls, tokens) that can be alike with another: alone is how many shingles no other has.
+
+    Shingles are counted exactly among the classes given. A set that must share `percent` of what it has with a partner
+    has none if fewer of its shingles stand elsewhere.
+    """
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(t.as_buffer(), np.int64) for t in batch.column("tokens")]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("cls").to_numpy(), [len(t) for t in found])), pa.array(np.concatenate(found))], names=["cls", "token"])
+
+    size = (F.octet_length("tokens") / 8).cast("long").alias("n")
+    once = sets.select("cls", "tokens").mapInArrow(single, "cls long, token long").groupBy("token").agg(F.count("*").alias("c"), F.min("cls").alias("cls")).where("c = 1")
+    alone = once.groupBy("cls").agg(F.count("*").alias("alone"))
+    told = sets.select("cls", size).join(alone, "cls", "left").select("cls", "n", F.coalesce("alone", F.lit(0)).alias("alone"))
+    return told.where(f"100 * (n - alone) >= {percent} * n")
+
+
+def _sized(n: str) -> str:
+    """Sizes within 3 % of each other are one bucket."""
+    return f"cast(floor(ln({n}) / ln(1.03D)) as int)"
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
     """The pairs (a, b) with so many collisions that are similar indeed by their whole sets.
 
@@ -131,11 +162,11 @@ def _candidates(texts: DataFrame, wanted, shingle: int, coordinates: int) -> Dat
 def links(lists: DataFrame, sets: DataFrame, percent: int, coordinates: int, matches: int) -> DataFrame:
     """Confirmed links (a, b) that connect what all links connect.
 
-    The members of a long list are first held against its leader, the one with the fewest pairs of its own. Members
+    The members of a long list are first held against its leader, the one with the fewest shingles of its own. Members
     that these links connect, in this list or another, need no pair between them; only those outside the list's largest
     group are paired with the rest. So no group of near copies costs its square, and no link between groups is lost.
     """
-    size = lists.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("own", "pos", "cls", "n")).alias("lead")).where("members > 1")
+    size = lists.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("alone", "own", "pos", "cls", "n")).alias("lead")).where("members > 1")
     met = written(_dealt(lists, size), "lists")
     long = met.where(F.col("members") >= LONG)
     to_leader = long.where(f"cls <> lead.cls AND {_fits('long', 'lead', percent, coordinates, matches).replace('long.', '')}")
@@ -147,8 +178,11 @@ def links(lists: DataFrame, sets: DataFrame, percent: int, coordinates: int, mat
     near = short.alias("x").join(short.alias("y"), F.expr("x.token = y.token AND x.cls < y.cls AND x.grp <> y.grp") & fits)
     rest = grouped.where(F.col("members") >= LONG)
     most = rest.groupBy("token", "grp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "grp")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
-    inside = _dealt(rest, most.select("token", F.col("most.grp").alias("most")))
-    apart = inside.where("grp <> most").alias("x").join(inside.alias("y"), F.expr("x.token = y.token AND x.grp <> y.grp AND (y.grp = y.most OR x.cls < y.cls)") & fits)
+    inside = _dealt(rest, most.select("token", F.col("most.grp").alias("most"))).withColumn("size", F.expr(_sized("n")))
+    # What a set shares bounds the sizes of its partners: it looks into the buckets of these sizes only.
+    least, largest = f"greatest(1, ceil({percent} * n / 100.0))", f"least(floor(100 * n / {percent}.0), floor({100 + percent} * (n - alone) / {percent}.0) - n)"
+    outside = inside.where(f"grp <> most AND {largest} >= {least}").withColumn("size", F.explode(F.expr(f"sequence({_sized(least)}, {_sized(largest)})")))
+    apart = outside.alias("x").join(inside.alias("y"), F.expr("x.token = y.token AND x.size = y.size AND x.grp <> y.grp AND (y.grp = y.most OR x.cls < y.cls)") & fits)
     pairs = near.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).union(apart.select(F.least("x.cls", "y.cls"), F.greatest("x.cls", "y.cls"))).distinct()
     return confirmed(written(pairs, "pairs"), sets, percent, matches).union(stars)
 
@@ -174,6 +208,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     lists = written(postings(classes, coordinates, matches), "postings")
     wanted = sets_of._bitmap(lists.select("cls").distinct())
     sets = written(_candidates(texts.select("text"), spark.sparkContext.broadcast(wanted), shingle, coordinates), "candidates")
+    lists = lists.drop("n").join(written(shared_enough(sets, percent), "shared"), "cls")
     labels = components(links(lists, sets, percent, coordinates, matches))
     lowest = signed.groupBy("cls").agg(F.min("doc_id").alias("low")).join(labels, F.col("cls") == F.col("node"), "left").select("cls", "low", F.coalesce("label", "cls").alias("label"))
     names = lowest.where("cls <> 0").groupBy("label").agg(F.min("low").alias("component"))
