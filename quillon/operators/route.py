@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions import arrays
 from quillon.functions.identity import cosine
 
 #: Routes that may be compared with a question.
@@ -57,15 +58,7 @@ def anchors(text: Column, entities: Sequence[str] = ()) -> Column:
     empty = F.array().cast("array<struct<at:int,text:string,kind:string>>")
 
     def placed(source: Column, pattern: str, kind: str, inner) -> Column:
-        found, gaps = F.regexp_extract_all(source, F.lit(pattern), F.lit(0)), F.split(source, pattern, -1)
-        pairs = F.filter(F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"))), lambda p: p["m"].isNotNull())
-        start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-        def step(a: Column, p: Column) -> Column:
-            at = a["at"] + p["g"]
-            return F.struct((at + F.length(p["m"])).alias("at"), F.concat(a["out"], F.array(F.struct(at.alias("at"), inner(p["m"]).alias("text"), F.lit(kind).alias("kind")))).alias("out"))
-
-        return F.aggregate(pairs, start, step, lambda a: a["out"])
+        return F.transform(arrays.matches(source, pattern), lambda m: F.struct(m["start"].alias("at"), inner(m["value"]).alias("text"), F.lit(kind).alias("kind")))
 
     def blank(source: Column, pattern: str) -> Column:
         found, gaps = F.regexp_extract_all(source, F.lit(pattern), F.lit(0)), F.split(source, pattern, -1)
@@ -79,8 +72,10 @@ def anchors(text: Column, entities: Sequence[str] = ()) -> Column:
     token = placed(rest, r"\S+", "identifier", lambda m: F.regexp_replace(m, f"^[{STRIP}]+|[{STRIP}]+$", ""))
     shaped = F.filter(token, lambda x: (x["text"] != "") & _identifier(x["text"]))
     everything = F.array_sort(F.concat(quoted, named, shaped))
-    once = F.aggregate(everything, empty, lambda a, x: F.when(F.exists(a, lambda y: y["text"] == x["text"]), a).otherwise(F.concat(a, F.array(x))))
-    return once
+    # The first of each text: equal texts stand together by place, and a new text begins where the one before differs.
+    by_text = F.array_sort(F.transform(everything, lambda x: F.struct(x["text"].alias("text"), x["at"].alias("at"), x["kind"].alias("kind"))))
+    first = arrays.let(by_text, lambda t: F.filter(t, lambda x, i: (i == 0) | (F.get(t, i - 1)["text"] != x["text"])))
+    return F.array_sort(F.transform(first, lambda x: F.struct(x["at"].alias("at"), x["text"].alias("text"), x["kind"].alias("kind"))))
 
 
 def cue_columns(text: Column, locale: str = "en") -> dict[str, Column]:
