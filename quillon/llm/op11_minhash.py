@@ -120,8 +120,8 @@ def _sized(n: str) -> str:
     return f"cast(floor(ln({n}) / ln(1.03D)) as int)"
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
-    """The pairs (a, b) with so many collisions that are similar indeed by their whole sets.
+def compared(pairs: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
+    """(a, b, same, alike) of pairs (a, b): the members both sets have, and whether they collide so often and are similar by their whole sets.
 
     sets: (cls, signature, tokens). A document that stands in many pairs is copied once for each SERVED of them, so that
     no task gets all of its pairs.
@@ -133,19 +133,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, matches: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            same, alike = [], []
             for s, t, x, y in zip(*(batch.column(c) for c in ("sign_a", "sign_b", "of_a", "of_b"))):
-                if int((np.frombuffer(s.as_buffer(), np.int64) == np.frombuffer(t.as_buffer(), np.int64)).sum()) < matches:
-                    keep.append(False)
-                    continue
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                same = int((q[at] == p).sum())
-                keep.append(100 * same >= percent * (len(p) + len(q) - same))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+                same.append(int((q[at] == p).sum()))
+                met = int((np.frombuffer(s.as_buffer(), np.int64) == np.frombuffer(t.as_buffer(), np.int64)).sum())
+                alike.append(met >= matches and 100 * same[-1] >= percent * (len(p) + len(q) - same[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same, pa.int64()), pa.array(alike, pa.bool_())], names=["a", "b", "same", "alike"])
 
-    return with_a.join(copied, ["b", "copy"]).select("a", "b", "sign_a", "sign_b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    return with_a.join(copied, ["b", "copy"]).select("a", "b", "sign_a", "sign_b", "of_a", "of_b").mapInArrow(run, "a long, b long, same long, alike boolean")
 
 
 def _candidates(texts: DataFrame, wanted, shingle: int, coordinates: int) -> DataFrame:
@@ -170,10 +167,16 @@ def links(lists: DataFrame, sets: DataFrame, percent: int, coordinates: int, mat
     met = written(_dealt(lists, size), "lists")
     long = met.where(F.col("members") >= LONG)
     to_leader = long.where(f"cls <> lead.cls AND {_fits('long', 'lead', percent, coordinates, matches).replace('long.', '')}")
-    stars = written(confirmed(to_leader.select(F.col("cls").alias("a"), F.col("lead.cls").alias("b")).distinct(), sets, percent, matches), "stars")
+    tried = written(compared(to_leader.select(F.col("cls").alias("a"), F.col("lead.cls").alias("b")).distinct(), sets, percent, matches), "leaders")
+    stars = tried.where("alike").select("a", "b")
     group = components(stars).select(F.col("node").alias("cls"), F.col("label").alias("grp"))
-    grouped = written(met.join(group, "cls", "left").withColumn("grp", F.coalesce("grp", "cls")).drop("lead"), "grouped")
+    grouped = met.withColumn("leader", F.col("lead.cls")).drop("lead").join(group, "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
+    grouped = grouped.join(tried.select(F.col("a").alias("cls"), F.col("b").alias("leader"), "same"), ["cls", "leader"], "left").withColumn("same", F.when(F.expr("cls = leader"), F.col("n")).otherwise(F.col("same")))
+    # Of what two members of a list share, a part stands in their leader too; the rest can be no more than others have of either's.
+    grouped = grouped.withColumn("led", F.coalesce("same", "n")).withColumn("besides", F.greatest(F.coalesce(F.expr("n - same"), "n") - F.col("alone"), F.lit(0)))
+    grouped = written(grouped.drop("same", "leader"), "grouped")
     fits = F.expr(_fits("x", "y", percent, coordinates, matches))
+    led = F.expr(f"least(x.led, y.led) + least(x.besides, y.besides) >= {_need('x.n', 'y.n', percent)}")
     short = grouped.where(F.col("members") < LONG)
     near = short.alias("x").join(short.alias("y"), F.expr("x.token = y.token AND x.cls < y.cls AND x.grp <> y.grp") & fits)
     rest = grouped.where(F.col("members") >= LONG)
@@ -182,17 +185,17 @@ def links(lists: DataFrame, sets: DataFrame, percent: int, coordinates: int, mat
     # What a set shares bounds the sizes of its partners: it looks into the buckets of these sizes only.
     least, largest = f"greatest(1, ceil({percent} * n / 100.0))", f"least(floor(100 * n / {percent}.0), floor({100 + percent} * (n - alone) / {percent}.0) - n)"
     outside = inside.where(f"grp <> most AND {largest} >= {least}").withColumn("size", F.explode(F.expr(f"sequence({_sized(least)}, {_sized(largest)})")))
-    apart = outside.alias("x").join(inside.alias("y"), F.expr("x.token = y.token AND x.size = y.size AND x.grp <> y.grp AND (y.grp = y.most OR x.cls < y.cls)") & fits)
+    apart = outside.alias("x").join(inside.alias("y"), F.expr("x.token = y.token AND x.size = y.size AND x.grp <> y.grp AND (y.grp = y.most OR x.cls < y.cls)") & fits & led)
     pairs = near.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).union(apart.select(F.least("x.cls", "y.cls"), F.greatest("x.cls", "y.cls"))).distinct()
-    return confirmed(written(pairs, "pairs"), sets, percent, matches).union(stars)
+    return compared(written(pairs, "pairs"), sets, percent, matches).where("alike").select("a", "b").union(stars)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document: components of links of `percent` or more.
 
     Words are runs of anything but ASCII blanks, A-Z folded; a set is the distinct runs of `shingle` words, or the
-    whole sequence of a shorter text. `matches` defaults to half the coordinates at 80 % and more, and to a share that
-    is as safe below. Null texts and those without words are linked with nothing. Equal sets are one class. Repeated
+    whole sequence of a shorter text. `matches` defaults to 7.7 standard deviations below what sets of that similarity
+    collide on average. Null texts and those without words are linked with nothing. Equal sets are one class. Repeated
     rows are one class; a null id is kept and, where others are in its component, not its name. One document of each
     component is kept, the one that names it (all rows of that id; rows without an id where no row has one). Other
     columns play no part; an empty table gives no rows.
