@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions import arrays
 from quillon.session import table, written
 
 #: The base formats in their order. Quantifiers are possessive where what follows cannot match what
@@ -62,27 +63,6 @@ def _holds(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def located(text: Column, pattern: Column) -> Column:
-    """array<struct<start,end,value>> of a pattern's leftmost non-overlapping matches; offsets in code points.
-
-    The pieces between matches and the matches themselves give the offsets by running lengths.
-    """
-    found, parts = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(found, parts, lambda m, p: F.struct(F.length(p).alias("gap"), F.length(m).alias("n"), m.alias("value")))
-    pairs = F.filter(pairs, lambda x: x["value"].isNotNull())
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.aggregate(
-        pairs,
-        start,
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + x["n"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["n"]).alias("end"), x["value"].alias("value")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-
-
 def _joined(kind: str, spans: Column) -> Column:
     """kind:start:end of every span."""
     return F.transform(spans, lambda x: F.concat(F.lit(f"{kind}:"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string")))
@@ -115,17 +95,17 @@ def base(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), own.alias("own"))
     for kind in KINDS:
         may = F.col("text").contains("@") if kind == "email" else F.col("text").rlike(GUARDS[kind])
-        spans = F.filter(located(F.col("text"), F.lit(PATTERNS[kind])), _valid(kind))
+        spans = F.filter(arrays.matches(F.col("text"), PATTERNS[kind]), _valid(kind))
         out = out.withColumn(kind, F.when(may, spans).otherwise(none))
     return out
 
 
-def _near(text: Column, span: Column) -> Column:
-    """The distinct lower-case words within CONTEXT characters of a span; words cut at the border are left out."""
-    before = F.substring(text, F.greatest(span["start"] - CONTEXT + 1, F.lit(1)), F.least(span["start"], F.lit(CONTEXT)))
+def _near(cut: Column, size: Column, span: Column) -> Column:
+    """The distinct lower-case words within CONTEXT characters of a span of a text (its cells and length); words cut at the border are left out."""
+    before = arrays.taken(cut, F.greatest(span["start"] - CONTEXT, F.lit(0)), span["start"])
     before = F.when(span["start"] > CONTEXT, F.regexp_replace(before, r"^\S*+", "")).otherwise(before)
-    after = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
-    after = F.when(F.length(text) > span["end"] + CONTEXT, F.regexp_replace(after, r"(?<!\S)\S*$", "")).otherwise(after)
+    after = arrays.taken(cut, span["end"], F.least(span["end"] + CONTEXT, size))
+    after = F.when(size > span["end"] + CONTEXT, F.regexp_replace(after, r"(?<!\S)\S*$", "")).otherwise(after)
     return F.array_distinct(F.regexp_extract_all(F.lower(F.concat(before, F.lit(" "), after)), F.lit(WORD), F.lit(0)))
 
 
@@ -149,7 +129,8 @@ def disclosing(texts: DataFrame, found: DataFrame, *, support: int = SUPPORT, di
     the term, reveal less than the threshold; else it is empty.
     """
     n = texts.count()
-    near = found.select("rid", F.xxhash64("text").alias("text_hash"), F.explode(F.transform("entities", lambda e: F.struct(e["levels"].alias("levels"), _near(F.col("text"), e).alias("words")))).alias("e"))
+    near = found.select("rid", F.xxhash64("text").alias("text_hash"), "entities", arrays.cells(F.col("text")).alias("cut"), F.length("text").alias("size"))
+    near = near.select("rid", "text_hash", F.explode(F.transform("entities", lambda e: F.struct(e["levels"].alias("levels"), _near(F.col("cut"), F.col("size"), e).alias("words")))).alias("e"))
     near = near.select("rid", "text_hash", F.explode("e.levels").alias("value"), "e.words")
     near = near.select("rid", "text_hash", "value", F.explode("words").alias("term")).distinct()
     by_text = near.groupBy("value", "term", "text_hash").agg(F.count("*").alias("docs"))
@@ -172,6 +153,23 @@ def disclosing(texts: DataFrame, found: DataFrame, *, support: int = SUPPORT, di
     return over.join(told, ["value", "begin"]).select("value", "term", F.when(less, F.concat("begin", F.lit("*"))).otherwise("").alias("general"))
 
 
+def _apart(spans: Column, others: Column) -> Column:
+    """The spans (disjoint, by start) that touch none of the others, whatever their number: by the largest end of those
+    that begin before a span, and by the first of those that begin in it."""
+    mixed = F.array_sort(F.concat(
+        F.transform(others, lambda e: F.struct(e["start"].alias("start"), F.lit(0).alias("own"), e["end"].alias("end"), F.lit(None).cast("string").alias("value"))),
+        F.transform(spans, lambda t: F.struct(t["start"].alias("start"), F.lit(1).alias("own"), t["end"].alias("end"), t["value"].alias("value"))),
+    ))
+
+    def told(m: Column) -> Column:
+        ends = arrays.before(F.transform(m, lambda x: F.when(x["own"] == 0, x["end"]).otherwise(-1)), F.lit(-1), lambda a, x: F.greatest(a, x), "int")
+        later = F.reverse(arrays.before(F.reverse(F.transform(m, lambda x: F.when(x["own"] == 0, x["start"]).otherwise(2**31 - 1))), F.lit(2**31 - 1), lambda a, x: F.least(a, x), "int"))
+        kept = F.zip_with(m, F.arrays_zip(ends.alias("e"), later.alias("l")), lambda x, y: F.when((x["own"] == 1) & (y["e"] <= x["start"]) & (y["l"] >= x["end"]), F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))))
+        return F.filter(kept, lambda x: x.isNotNull())
+
+    return arrays.let(mixed, told)
+
+
 def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE, whole: bool = False) -> DataFrame:
     """(rid, doc_id, text, own, email, ip, card, phone, term, general): base spans, and those of the terms that reveal them.
 
@@ -195,7 +193,7 @@ def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     terms = terms.groupBy("rid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "general")))).alias("general"))
     terms = terms.withColumn("terms", F.map_keys("general"))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
-    free = F.filter(located(F.col("text"), pattern), lambda t: ~F.exists("entities", lambda e: (t["start"] < e["end"]) & (e["start"] < t["end"])))
+    free = _apart(arrays.matches(F.col("text"), pattern), F.col("entities"))
     spans = held.join(terms, "rid").select("rid", free.alias("term"), "general")
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     return based.join(spans, "rid", "left").withColumn("term", F.coalesce("term", none))
@@ -214,15 +212,15 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     marks = [marked(k, lambda x, m=f"[{k.upper()}]": F.lit(m)) for k in KINDS]
     marks.append(marked("term", lambda x: F.coalesce(F.col("general")[F.lower(x["value"])], F.lit(""))))
-    cleaned = F.aggregate(
-        F.array_sort(F.concat(*marks)),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.struct(
-            F.greatest(a["at"], x["end"]).alias("at"),
-            F.when(x["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, x["start"] - a["at"]), x["mark"])).alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
-    )
+    # A mark stands for what is between its start and its end; one that begins in another before it is part of that.
+    def rewritten(m: Column) -> Column:
+        ends = arrays.before(F.transform(m, lambda x: x["end"]), F.lit(0), lambda a, x: F.greatest(a, x), "int")
+        pieces = F.zip_with(m, ends, lambda x, at: F.when(x["start"] >= at, F.concat(arrays.taken(F.col("cut"), at, x["start"]), x["mark"])).otherwise(""))
+        last = F.array_max(F.concat(F.array(F.lit(0)), F.transform(m, lambda x: x["end"])))
+        return F.concat(F.array_join(pieces, ""), arrays.taken(F.col("cut"), last, F.length("text")))
+
+    found = found.withColumn("cut", arrays.cells(F.col("text")))
+    cleaned = arrays.let(F.array_sort(F.concat(*marks)), rewritten)
     text = F.when(F.size(F.concat(*KINDS)) > 0, cleaned).otherwise(F.col("own")[text_col])
     return found.select(*[text.alias(c) if c == text_col else F.col("own")[c].alias(c) for c in docs.columns])
 

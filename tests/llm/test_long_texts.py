@@ -81,3 +81,13 @@ def test_packed_streams_are_unpacked_in_parts():
     assert timed(lambda: op5_media.sniff(b"head" + packed + b"tail")) == [("gzip", 4, 4 + len(packed))]
     assert tracemalloc.get_traced_memory()[1] < 64 << 20
     tracemalloc.stop()
+
+
+def test_very_many_addresses_in_one_text(spark):
+    said = " ".join(f"word{'abcde'[i % 5]} u{i}@host{i % 97}.example" for i in range(100_000))
+    docs = spark.createDataFrame([(1, said), (2, "none here")], "doc_id long, text string")
+    got = timed(lambda: {r["doc_id"]: r for r in op2_pii.detect(docs).selectExpr("doc_id", "size(email) as n", "email[99999] as last").collect()})
+    want = list(re.finditer(r"u\d+@host\d+\.example", said))[-1]
+    assert got[1]["n"] == 100_000 and tuple(got[1]["last"]) == (want.start(), want.end(), want[0]) and got[2]["n"] == 0
+    clean = timed(lambda: {r["doc_id"]: r["text"] for r in op2_pii.sanitise(docs).collect()})
+    assert clean[2] == "none here" and clean[1].count("[EMAIL]") == 100_000 and "@" not in clean[1]
