@@ -44,9 +44,9 @@ def predicate(node: Mapping, schema) -> Column:
         _check(op, value)
     c = F.col(field)
     if kind == "text":
-        return {"eq": lambda: c == value, "ne": lambda: ~c.eqNullSafe(value), "in": lambda: c.isin(list(value)), "exists": c.isNotNull}[op]()
+        return {"eq": lambda: F.coalesce(c == value, F.lit(False)), "ne": lambda: ~c.eqNullSafe(value), "in": lambda: F.coalesce(c.isin(list(value)), F.lit(False)), "exists": c.isNotNull}[op]()
     if kind == "set":
-        return {"exists": lambda: F.size(c) > 0, "in": lambda: F.arrays_overlap(c, F.array(*map(F.lit, value))), "contains": lambda: F.array_contains(c, value)}[op]()
+        return F.coalesce({"exists": lambda: F.size(c) > 0, "in": lambda: F.arrays_overlap(c, F.array(*map(F.lit, value))), "contains": lambda: F.array_contains(c, value)}[op](), F.lit(False))
     listed = schema[field.split(".")[0]].dataType.typeName() == "array" if "." not in field else False
     items = c if listed else F.array(c)
     holds = {

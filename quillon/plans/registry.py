@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import evaluation, graph, nodes, retrieval, store
+from quillon.plans import asking, evaluation, graph, nodes, retrieval, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for part in (nodes, retrieval, graph, store, evaluation):
+for part in (nodes, retrieval, asking, graph, store, evaluation):
     for name, (query, sql) in part.PLANS.items():
         QUERIES[name] = query
         if sql:
