@@ -153,7 +153,7 @@ class Formats:
     """For each labelled kind automata of its fine and of its coarse symbols, likewise for ordinary words; of each kind
     the least likelihood and the least length."""
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str], margin: float = 0.3) -> None:
+    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str], margin: float = 0.2) -> None:
         self.margin = margin
         self.views = []
         for view in (str, coarse):
@@ -163,11 +163,11 @@ class Formats:
                 words = _bounded(sorted(map(view, labelled[kind])))
                 if len(words) >= 20:
                     a = Automaton(words)
-                    kinds.append((a, sorted(map(a.likelihood, words))[len(words) // 20], min(map(len, words))))
+                    kinds.append((a, sorted(map(a.likelihood, words))[len(words) // 50], min(map(len, words))))
             self.views.append((view, usual, kinds))
 
     def secret(self, word: str) -> bool:
-        """Whether a word is as long and as likely as 19 of 20 credentials of some kind, and likelier so than as an
+        """Whether a word is as long and as likely as 49 of 50 credentials of some kind, and likelier so than as an
         ordinary word, by its fine or by its coarse symbols."""
         fine = symbols(word)
         for view, usual, kinds in self.views:

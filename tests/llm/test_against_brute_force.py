@@ -547,9 +547,9 @@ def test_secrets_fit_and_candidates(spark, monkeypatch):
     assert sum(f.secret(k) for k in keys[150:]) >= 40 and not any(f.secret(w) for w in words)
 
 
-def planted_secrets():
+def planted_secrets(seed=12):
     """Texts with labelled credentials, others with unlabelled ones of the same makes or of other letters, and clean ones."""
-    r = random.Random(12)
+    r = random.Random(seed)
     word = lambda n=None: "".join(r.choice("etaoinshrdlucmfw") for _ in range(n or r.randint(2, 9)))
     make = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
     base36, upper = "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
@@ -559,7 +559,7 @@ def planted_secrets():
         if i % 3 == 0:
             w.insert(r.randrange(len(w)), r.choice([f'api_key = "{make(base36, 32)}"', f"token: sk_{make(base36, 24)}", f"AKIA{make(upper, 16)}"]))
         elif i % 3 == 1:
-            planted[i] = r.choice([make(base36, 32), f"sk_{make(base36, 24)}", make(upper, 32)])
+            planted[i] = r.choice([make(base36, 32), f"sk_{make(base36, 24)}", make(upper, 32), make("0123456789abcdef", 40)])
             w.insert(r.randrange(len(w)), planted[i])
         else:
             w += [r.choice([word(14) + "-" + word(12), f"{word(8)}.{word(9)}.{word(4)}", str(r.randint(10**11, 10**13)), "2024-05-06T10:11:12"])]
@@ -567,17 +567,20 @@ def planted_secrets():
     return rows, planted
 
 
-def test_secrets_unseen(spark):
-    """Bare credentials of labelled makes are found, clean texts are left alone, however the rows are dealt."""
-    rows, planted = planted_secrets()
+@pytest.mark.parametrize("seed", [12, 13, 14])
+def test_secrets_unseen(spark, seed):
+    """Nine of ten bare credentials of labelled makes are found whole, clean texts are left alone, however the rows are dealt."""
+    rows, planted = planted_secrets(seed)
     docs = spark.createDataFrame(rows, SCHEMA)
     formats = [op10_secrets.fit(docs.repartition(n)) for n in (1, 13)]
     assert [[(v[1].logs, v[1].ends, [(a.logs, least, n) for a, least, n in v[2]]) for v in f.views] for f in formats][0] == [[(v[1].logs, v[1].ends, [(a.logs, least, n) for a, least, n in v[2]]) for v in f.views] for f in formats][1]
     got = {r["doc_id"]: r for r in op10_secrets.scan(docs, formats[0]).collect()}
     text = {r[0]: r[1] for r in rows}
-    hit = sum(f"format:{text[i].index(x)}:{text[i].index(x) + len(x)}" in got[i]["spans"].split(",") for i, x in planted.items() if not re.search("[0-9a-f]{16}", x))
-    assert hit >= 0.85 * sum(not re.search("[0-9a-f]{16}", x) for x in planted.values())
-    assert sum(got[i]["n_format"] for i in range(600) if i % 3 == 2) <= 4
+    hit = sum(any(f"{kind}:{text[i].index(x)}:{text[i].index(x) + len(x)}" in got[i]["spans"].split(",") for kind in ("format", "hex")) for i, x in planted.items())
+    false = sum(got[i]["n_format"] for i in range(600) if i % 3 == 2)
+    print(f"{hit} of {len(planted)} planted credentials, {false} others in 200 clean texts")
+    assert hit >= 0.9 * len(planted)
+    assert false <= 2
     # Every span against a plain restatement, with the same automata.
     for i, t, *_ in rows:
         spans = [(m.start(), k, kind, m.end()) for k, (kind, p, ok) in enumerate(BASE) for m in re.finditer(p, t) if ok(m)]
@@ -597,7 +600,6 @@ def test_automaton_is_a_distribution():
 
 def test_packing(docs, empty, rows):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want = sorted(((i, tok.encode(t or "", add_special_tokens=False).ids + [0]) for i, t, *_ in rows), key=repr)
     pieces = op8_packing.pack(docs, max_tokens=64, block_tokens=5000).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
