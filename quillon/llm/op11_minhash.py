@@ -180,12 +180,15 @@ def links(lists: DataFrame, sets: DataFrame, percent: int, coordinates: int, mat
     short = grouped.where(F.col("members") < LONG)
     near = short.alias("x").join(short.alias("y"), F.expr("x.token = y.token AND x.cls < y.cls AND x.grp <> y.grp") & fits)
     rest = grouped.where(F.col("members") >= LONG)
+    # A pair is made where its first common token stands: what a class has before a token tells.
+    prefix = rest.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("all"))
+    rest = rest.join(prefix, "cls").withColumn("before", F.expr("transform(filter(all, t -> t.pos < pos), t -> t.token)")).drop("all")
     most = rest.groupBy("token", "grp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "grp")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
     inside = _dealt(rest, most.select("token", F.col("most.grp").alias("most"))).withColumn("size", F.expr(_sized("n")))
     # What a set shares bounds the sizes of its partners: it looks into the buckets of these sizes only.
     least, largest = f"greatest(1, ceil({percent} * n / 100.0))", f"least(floor(100 * n / {percent}.0), floor({100 + percent} * (n - alone) / {percent}.0) - n)"
     outside = inside.where(f"grp <> most AND {largest} >= {least}").withColumn("size", F.explode(F.expr(f"sequence({_sized(least)}, {_sized(largest)})")))
-    apart = outside.alias("x").join(inside.alias("y"), F.expr("x.token = y.token AND x.size = y.size AND x.grp <> y.grp AND (y.grp = y.most OR x.cls < y.cls)") & fits & led)
+    apart = outside.alias("x").join(inside.alias("y"), F.expr("x.token = y.token AND x.size = y.size AND x.grp <> y.grp AND (y.grp = y.most OR x.cls < y.cls)") & fits & led & ~F.arrays_overlap("x.before", "y.before"))
     pairs = near.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).union(apart.select(F.least("x.cls", "y.cls"), F.greatest("x.cls", "y.cls"))).distinct()
     return compared(written(pairs, "pairs"), sets, percent, matches).where("alike").select("a", "b").union(stars)
 
