@@ -6,11 +6,12 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions.identity import tokens
+from quillon.session import written
 
 
 def ranking_scores(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
@@ -136,10 +137,24 @@ def slices(scores: DataFrame, metric: str, *axes: str) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, q: float, *by: str) -> DataFrame:
-    """The value at place ceil(q * n) of each group; null where that is the last, which says nothing of a tail."""
-    at = F.ceil(q * F.size("v")).cast("int")
-    listed = values.groupBy(*by).agg(F.count("value").alias("n"), F.array_sort(F.collect_list("value")).alias("v"))
-    return listed.select(*by, "n", F.when(at < F.size("v"), F.element_at("v", at)).alias("value"))
+    """The value at place ceil(q * n) of each group; null where that is the last, which says nothing of a tail.
+
+    A range sort splits a group over as many tasks as it needs; their counts tell which task holds the place, and only
+    its rows are ranked. No group's values come together.
+    """
+    group = F.struct(F.lit(0).alias("of"), *[F.col(c) for c in by])
+    known = values.where(F.col("value").isNotNull()).select(F.to_json(group, {"ignoreNullFields": "false"}).alias("group"), *by, "value")
+    laid = written(known.repartitionByRange("group", "value", F.rand(0)).withColumn("task", F.spark_partition_id()), "laid")
+    own, so_far = Window.partitionBy("group"), Window.partitionBy("group").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    held = laid.groupBy("group", "task").agg(F.count("*").alias("c"))
+    held = held.select("group", "task", "c", F.sum("c").over(own).alias("n"), F.coalesce(F.sum("c").over(so_far), F.lit(0)).alias("before"))
+    at = F.ceil(q * F.col("n")) - F.col("before")
+    there = held.withColumn("at", at).where("at between 1 and c")
+    ranked = laid.join(there, ["group", "task"]).withColumn("place", F.row_number().over(Window.partitionBy("group", "task").orderBy("value")))
+    last = F.ceil(q * F.col("n")) >= F.col("n")
+    found = ranked.where("place = at").select(*by, "n", F.when(~last, F.col("value")).alias("value"))
+    nothing = values.groupBy(*by).agg(F.count("value").alias("n")).where("n = 0").select(*by, "n", F.lit(None).cast(values.schema["value"].dataType).alias("value"))
+    return found.union(nothing)
 
 
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -59,10 +59,11 @@ def table_rows(tables: DataFrame) -> DataFrame:
 
 #: Words that are no keywords.
 STOPWORDS = (
-    "a an and are as at be been being between both but by can did do does each few for from had has have he her his if in into is it its just "
-    "more most my no not of on only or other our over own same she so some such than that the their them then these they this those to too under "
-    "very was we were will with you your"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "been", "being", "between", "both", "but", "by", "can", "did", "do", "does", "each", "few", "for",
+    "from", "had", "has", "have", "he", "her", "his", "if", "in", "into", "is", "it", "its", "just", "more", "most", "my", "no", "not", "of", "on",
+    "only", "or", "other", "our", "over", "own", "same", "she", "so", "some", "such", "than", "that", "the", "their", "them", "then", "these",
+    "they", "this", "those", "to", "too", "under", "very", "was", "we", "were", "will", "with", "you", "your",
+)
 
 
 def keywords(content: Column, top_n: int = 5) -> Column:

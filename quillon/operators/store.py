@@ -86,8 +86,8 @@ def release(made: DataFrame, catalogue: DataFrame, found: DataFrame) -> tuple[Da
     return touched, kept.withColumn("status", status).select(catalogue.columns)
 
 
-def corpus_profile(catalogue: DataFrame, context_tokens: int | None = None) -> DataFrame:
-    """One row that says what a corpus is: documents, leaves, leaf_tokens, sources_pending, sources_failed, base_complete,
+def corpus_profile(catalogue: DataFrame, context_tokens: int | None = None, *by: str) -> DataFrame:
+    """One row that says what a corpus is, or one for each value of `by`, null included: documents, leaves, leaf_tokens, sources_pending, sources_failed, base_complete,
     fits_context. What is not known is null, never zero.
 
     catalogue (id, status, leaves, tokens, tokenizer). Leaves and tokens are known where every active source has them;
@@ -96,7 +96,7 @@ def corpus_profile(catalogue: DataFrame, context_tokens: int | None = None) -> D
     active = F.col("status") == "active"
     known = lambda c: (F.count_if(active) > 0) & (F.count_if(active & F.col(c).isNull()) == 0)
     one = F.size(F.collect_set(F.when(active, F.col("tokenizer")))) == 1
-    out = catalogue.agg(
+    out = catalogue.groupBy(*by).agg(
         F.count_if(active).alias("documents"),
         F.when(known("leaves"), F.sum(F.when(active, F.col("leaves")))).alias("leaves"),
         F.when(known("tokens") & known("tokenizer") & one, F.sum(F.when(active, F.col("tokens")))).alias("leaf_tokens"),

@@ -109,3 +109,21 @@ def test_graph_upkeep(spark):
     assert [r["entity"] for r in out.collect()] == ["e2"]
     found = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "b")], "node_id int, name string")
     assert [(r["both"], r["either"]) for r in graph.ceiling(found, spark.createDataFrame([("a", "b")], "a string, b string")).collect()] == [(1, 3)]
+
+
+def test_nearest_rank_of_a_large_group(spark):
+    """A group over many tasks, ties, nulls and groups without a value."""
+    import math
+    import random
+
+    r = random.Random(4)
+    rows = [("big", float(r.randint(0, 50))) for _ in range(5000)] + [("one", 3.0), ("none", None), (None, 1.0), (None, 2.0), (None, None)] + [("few", float(k)) for k in range(40)]
+    df = spark.createDataFrame(rows, "kind string, value double").repartition(7)
+    for q in (0.5, 0.95, 1.0):
+        want = {}
+        for kind in ("big", "one", "none", None, "few"):
+            v = sorted(x for k, x in rows if k == kind and x is not None)
+            at = math.ceil(q * len(v))
+            want[kind] = (len(v), v[at - 1] if at < len(v) else None)
+        assert {x["kind"]: (x["n"], x["value"]) for x in metrics.nearest_rank(df, q, "kind").collect()} == want
+    assert metrics.nearest_rank(df.drop("kind"), 0.5).collect()[0]["n"] == 5043
