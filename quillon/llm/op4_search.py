@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from quillon.llm.words import TERM_GAP, hashed, sliced, text_bytes
 from quillon.session import table, written
 
 K1, B = 1.2, 0.75
+#: Tasks whose counts one group adds up; their sums are added up alike, level by level.
+FAN = 64
 #: Documents whose postings share a maximum, and the blocks that a query takes in its first turn in a shard.
 BLOCK, FIRST = 64, 8
 #: Documents of a shard, at most, and queries that are scored together.
@@ -251,16 +254,22 @@ def search(queries: DataFrame, indexed: DataFrame, k: int, *, pass_terms: int =
                 at = np.minimum(np.searchsorted(s["terms"], sent.value), max(0, len(s["terms"]) - 1))
                 if len(s["terms"]):
                     df += np.where(s["terms"][at] == sent.value, np.diff(s["starts"])[at], 0)
+            task = TaskContext.get().partitionId()
             for a in range(0, len(df), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([df[a : a + (1 << 16)].tobytes()], pa.binary())], names=["part", "df"])
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([task], pa.int64()), pa.array([df[a : a + (1 << 16)].tobytes()], pa.binary())], names=["part", "task", "df"])
 
         def add(t: pa.Table) -> pa.Table:
-            return pa.table({"part": t.column("part").slice(0, 1), "df": pa.array([np.sum([np.frombuffer(x, np.int64) for x in t.column("df").to_pylist()], axis=0).tobytes()], pa.binary())})
+            return pa.table({"part": t.column("part").slice(0, 1), "task": pa.array([t.column("task")[0].as_py() // FAN], pa.int64()), "df": pa.array([np.sum([np.frombuffer(x, np.int64) for x in t.column("df").to_pylist()], axis=0).tobytes()], pa.binary())})
 
         df = np.zeros(len(wanted), np.int64)
-        for r in indexed.select("terms", "starts", *[F.lit(b"").alias(x) for x in ("ids", "lengths", "docs", "counts")]).mapInArrow(count, "part long, df binary").groupBy("part").applyInArrow(add, "part long, df binary").collect():
+        counted = indexed.select("terms", "starts", *[F.lit(b"").alias(x) for x in ("ids", "lengths", "docs", "counts")]).mapInArrow(count, "part long, task long, df binary")
+        tasks = indexed.rdd.getNumPartitions()
+        while tasks:
+            counted = counted.groupBy("part", F.floor(F.col("task") / FAN).alias("to")).applyInArrow(add, "part long, task long, df binary")
+            tasks = (tasks - 1) // FAN
+        for r in counted.toLocalIterator():
             part = np.frombuffer(r["df"], np.int64)
-            df[r["part"] : r["part"] + len(part)] = part
+            df[r["part"] : r["part"] + len(part)] += part
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         places = [np.searchsorted(wanted, t).astype(np.int32) for t in terms]
         asked = spark.sparkContext.broadcast((ids, places, wanted, idf))

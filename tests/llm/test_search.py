@@ -78,3 +78,14 @@ def test_search_prunes(spark):
             assert [i for _, i in hits] == [i for _, i in s.best(every, 10, 0.0)]
         scored, there = scored + s.scored, there + s.there
     assert 0 < scored < 0.8 * there
+
+
+def test_counts_add_up_level_by_level(spark, monkeypatch):
+    """However few tasks a group adds up, the document counts and so the scores are the same."""
+    rows = [(i, " ".join(f"w{(i * k) % 17}" for k in range(1, 9))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    queries = docs.where("doc_id % 10 = 0").selectExpr("doc_id as query_id", "text")
+    indexed = op4_search.index(docs)
+    want = sorted(map(tuple, op4_search.search(queries, indexed, 5).collect()))
+    monkeypatch.setattr(op4_search, "FAN", 2)
+    assert sorted(map(tuple, op4_search.search(queries, indexed, 5).collect())) == want and want
