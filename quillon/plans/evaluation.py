@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import metrics
-from quillon.operators import search
+from quillon.operators import runs, search
 from quillon.plans import sql
 from quillon.session import spread, table
 
@@ -103,6 +103,45 @@ _F1 = "round(CASE WHEN {c} = 0 THEN 0.0 ELSE 2.0::DOUBLE * {c} / (len({a}) + len
 _LAB = "l AS (SELECT doc_id, lang, source, quality::DOUBLE AS quality, toxic::DOUBLE AS toxic FROM documents JOIN labels USING (doc_id))"
 _REPS = "r AS (SELECT event_type AS metric, event_id % 3 AS rep, 'arm' || (event_id % 2) AS arm, user_id AS question_id, value FROM events)"
 
+def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events as scores of runs: users by hundreds of groups are experiments, ten days an invocation, kinds arms; as they stood on a day."""
+    events = table(spark, sf_dir, "events")
+    made = events.select(
+        F.concat(F.lit("x"), (F.col("user_id") % 40).cast("string")).alias("experiment"), F.lit("d").alias("digest"), F.floor(F.dayofmonth("ts") / 10).cast("string").alias("invocation"),
+        F.col("event_type").alias("arm"), (F.col("event_id") % 2).alias("repetition"), F.col("ts").alias("started"), F.lit("value").alias("metric"), F.col("user_id").alias("question_id"), "value",
+    )
+    grid = made.groupBy("experiment", "digest", "arm").agg(F.lit(2).alias("repeats")).withColumn("baseline", F.col("arm") == "click")
+    return runs.as_of(made, F.lit("2024-01-25 00:00:00").cast("timestamp_ntz").cast(events.schema["ts"].dataType)), grid
+
+
+def evidence_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which invocation of each experiment counts where only one may be complete."""
+    records, grid = _records(spark, sf_dir)
+    return runs.chosen(runs.completeness(records, grid), grid).drop("digest")
+
+
+def evidence_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every invocation lacks."""
+    records, grid = _records(spark, sf_dir)
+    return runs.completeness(records, grid).select("experiment", "invocation", F.array_join("missing", ",").alias("missing"))
+
+
+def evidence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the arms of each experiment's last complete invocation say against the baseline."""
+    records, grid = _records(spark, sf_dir)
+    return runs.evidence(records, runs.chosen(runs.completeness(records, grid), grid, "latest"), grid).drop("digest", "metric")
+
+
+_RECORDS = """
+made AS (SELECT 'x' || (user_id % 40) AS experiment, (day(ts) // 10)::VARCHAR AS invocation, event_type AS arm, event_id % 2 AS repetition, ts, user_id AS question, value FROM events),
+grid AS (SELECT DISTINCT experiment, arm FROM made),
+seen AS (SELECT experiment, invocation, arm, repetition, question, arg_max(value, (ts, value)) AS value, max(ts) AS started FROM made WHERE ts <= TIMESTAMP '2024-01-25 00:00:00' GROUP BY ALL),
+known AS (SELECT experiment, invocation, min(started) AS began FROM seen GROUP BY ALL),
+cells AS (SELECT k.experiment, k.invocation, k.began, g.arm, r.rep, EXISTS (SELECT 1 FROM seen s WHERE s.experiment = k.experiment AND s.invocation = k.invocation AND s.arm = g.arm AND s.repetition = r.rep) AS ran
+    FROM known k JOIN grid g USING (experiment) CROSS JOIN (VALUES (0), (1)) r(rep)),
+inv AS (SELECT experiment, invocation, began, coalesce(list_sort(list(arm || '#' || rep) FILTER (NOT ran)), []) AS missing FROM cells GROUP BY ALL),
+told AS (SELECT e.experiment, count(i.invocation) AS complete, arg_max(i.invocation, (i.began, i.invocation)) AS last FROM (SELECT DISTINCT experiment FROM grid) e LEFT JOIN inv i ON i.experiment = e.experiment AND len(i.missing) = 0 GROUP BY ALL)"""
+
 PLANS = {
     "ranking_metrics": (ranking_metrics, f"""
         WITH {sql.vectors()}, rel AS (SELECT q.vec_id AS query_id, e.vec_id AS node_id FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 100 = 0),
@@ -146,4 +185,17 @@ PLANS = {
     "pairwise_rate": (pairwise_rate, """
         WITH j AS (SELECT CASE WHEN quality = 1 THEN 'a' ELSE 'b' END AS f, CASE WHEN 1 - toxic = 1 THEN 'a' ELSE 'b' END AS g FROM labels), v AS (SELECT CASE WHEN f = g THEN f ELSE 'tie' END AS v FROM j)
         SELECT count(*) AS n, count_if(v = 'b')::BIGINT AS wins, count_if(v = 'a')::BIGINT AS losses, count_if(v = 'tie')::BIGINT AS ties, round((count_if(v = 'b') + 0.5::DOUBLE * count_if(v = 'tie')) / count(*), 9) AS rate FROM v"""),
+    "evidence_choice": (evidence_choice, f"""
+        WITH {_RECORDS} SELECT experiment, CASE complete WHEN 0 THEN 'incomplete' WHEN 1 THEN 'chosen' ELSE 'ambiguous' END AS outcome, CASE WHEN complete = 1 THEN last END AS invocation, complete FROM told"""),
+    "evidence_missing": (evidence_missing, f"WITH {_RECORDS} SELECT experiment, invocation, array_to_string(missing, ',') AS missing FROM inv"),
+    "evidence_table": (evidence_table, f"""
+        WITH {_RECORDS}, h AS (SELECT s.* FROM seen s JOIN told t ON t.experiment = s.experiment AND t.last = s.invocation WHERE t.complete > 0 AND value IS NOT NULL),
+        r AS (SELECT experiment, repetition, avg(value) AS mean FROM h WHERE arm = 'click' GROUP BY ALL),
+        sp AS (SELECT experiment, min(mean) AS low, max(mean) AS high, count(*) AS reps FROM r GROUP BY ALL),
+        b AS (SELECT experiment, avg(value) AS baseline_mean FROM h WHERE arm = 'click' GROUP BY ALL),
+        a AS (SELECT experiment, invocation, arm, avg(value) AS arm_mean FROM h WHERE arm <> 'click' GROUP BY ALL),
+        d AS (SELECT x.experiment, x.arm, count(*) AS n, avg(x.value - y.value) AS delta FROM h x JOIN h y ON x.experiment = y.experiment AND x.repetition = y.repetition AND x.question = y.question AND y.arm = 'click' WHERE x.arm <> 'click' GROUP BY ALL)
+        SELECT a.experiment, a.invocation, a.arm, round(baseline_mean, 9) AS baseline_mean, round(arm_mean, 9) AS arm_mean, coalesce(n, 0) AS n, round(delta, 9) AS delta, round(low, 9) AS low, round(high, 9) AS high,
+            CASE WHEN reps < 2 THEN 'no spread' WHEN abs(delta) > high - low THEN 'beyond spread' WHEN delta IS NOT NULL THEN 'within spread' END AS verdict
+        FROM a JOIN b USING (experiment) JOIN sp USING (experiment) LEFT JOIN d ON d.experiment = a.experiment AND d.arm = a.arm"""),
 }
