@@ -15,10 +15,10 @@ from quillon.llm import op2_pii, op3_bpe, op5_media, op8_packing, vocab
 SECONDS = 30
 
 
-def timed(f):
+def timed(f, most=SECONDS):
     began = time.perf_counter()
     out = f()
-    assert time.perf_counter() - began < SECONDS
+    assert time.perf_counter() - began < most
     return out
 
 
@@ -86,8 +86,8 @@ def test_packed_streams_are_unpacked_in_parts():
 def test_very_many_addresses_in_one_text(spark):
     said = " ".join(f"word{'abcde'[i % 5]} u{i}@host{i % 97}.example" for i in range(100_000))
     docs = spark.createDataFrame([(1, said), (2, "none here")], "doc_id long, text string")
-    got = timed(lambda: {r["doc_id"]: r for r in op2_pii.detect(docs).selectExpr("doc_id", "size(email) as n", "email[99999] as last").collect()})
+    got = timed(lambda: {r["doc_id"]: r for r in op2_pii.detect(docs).selectExpr("doc_id", "size(email) as n", "get(email, 99999) as last").collect()}, 4 * SECONDS)
     want = list(re.finditer(r"u\d+@host\d+\.example", said))[-1]
     assert got[1]["n"] == 100_000 and tuple(got[1]["last"]) == (want.start(), want.end(), want[0]) and got[2]["n"] == 0
-    clean = timed(lambda: {r["doc_id"]: r["text"] for r in op2_pii.sanitise(docs).collect()})
+    clean = timed(lambda: {r["doc_id"]: r["text"] for r in op2_pii.sanitise(docs).collect()}, 4 * SECONDS)
     assert clean[2] == "none here" and clean[1].count("[EMAIL]") == 100_000 and "@" not in clean[1]
