@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions.identity import tokens
-from quillon.session import spread, written
+from quillon.session import written
 
 #: Questions that are scored together, at most, and numbers (or terms times questions) that a block of them holds.
 BLOCK, CELLS = 4096, 1 << 23
@@ -269,14 +269,16 @@ def _statistics(source: DataFrame, terms: list[str]) -> tuple[int, int, np.ndarr
 def bm25(queries: DataFrame, nodes: DataFrame, k: int = 20, *, k1: float = 1.2, b: float = 0.75, index: DataFrame | None = None) -> DataFrame:
     """(query_id, node_id, score, rank) by BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)); positive scores only.
 
-    N and the mean length are measured over all nodes; each distinct term of a question has weight 1. Texts are read
-    once, into postings that are stored, unless `index` (a stored result of `postings`) is given; a block of questions
-    takes one scan of these that counts and one that scores.
+    N and the mean length are measured over all nodes; each distinct term of a question has weight 1. A block of
+    questions takes one scan that counts and one that scores, of `index` (a stored result of `postings`) or, for a
+    single block, of the texts; for more blocks postings are stored first, so that texts are read once.
     """
-    source = written(postings(spread(nodes)), "postings") if index is None else index
+    asked = _term_blocks(queries)
+    begun = list(islice(asked, 2))
+    source = index if index is not None else _lowered(nodes) if len(begun) < 2 else written(postings(nodes), "postings")
 
     def blocks() -> Iterator[tuple[list, object]]:
-        for ids, sets in _term_blocks(queries):
+        for ids, sets in chain(begun, asked):
             terms, has = _asked(sets)
             n, total, df = _statistics(source, terms)
             yield ids, (terms, has * np.log(1 + (n - df + 0.5) / (df + 0.5))[:, None], total / n if total else 1.0)
