@@ -20,8 +20,16 @@ def ranking_scores(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     hits (query_id, node_id, rank from 0); relevant (query_id, node_id). One join, one aggregation by question.
     """
     many = relevant.groupBy("query_id").agg(F.countDistinct("node_id").alias("n"))
-    told = hits.where(F.col("rank") < k).join(relevant.select("query_id", "node_id").distinct().withColumn("good", F.lit(1)), ["query_id", "node_id"], "left")
-    ranks = told.where("good = 1").groupBy("query_id").agg(F.array_sort(F.collect_list(F.col("rank") + 1)).alias("at"))
+    good = hits.where(F.col("rank") < k).join(relevant.select("query_id", "node_id").distinct(), ["query_id", "node_id"], "left_semi")
+    return counted_scores(good, many, k)
+
+
+def counted_scores(good: DataFrame, many: DataFrame, k: int) -> DataFrame:
+    """The scores of `ranking_scores` of relevant hits (query_id, rank), and how many nodes are relevant to each question (query_id, n).
+
+    For questions to which so many nodes are relevant that these are better counted than listed.
+    """
+    ranks = good.where(F.col("rank") < k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.col("rank") + 1)).alias("at"))
     each = many.join(ranks, "query_id", "left").withColumn("at", F.coalesce("at", F.array().cast("array<int>")))
     gain = F.aggregate(F.transform("at", lambda r: 1 / F.log2(r + 1.0)), F.lit(0.0), lambda a, x: a + x)
     ideal = F.aggregate(F.transform(F.sequence(F.lit(1), F.least(F.lit(k), F.col("n").cast("int"))), lambda r: 1 / F.log2(r + 1.0)), F.lit(0.0), lambda a, x: a + x)

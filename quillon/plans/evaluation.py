@@ -16,8 +16,11 @@ def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     nodes = e.select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("vector"), "label")
     asked = nodes.where("node_id % 100 = 0").select(F.col("node_id").alias("query_id"), "vector", "label")
-    relevant = asked.select("query_id", "label").join(nodes.select("node_id", "label"), "label").select("query_id", "node_id")
-    return metrics.ranking_scores(search.vector_top_k(asked.select("query_id", "vector"), nodes, 20), relevant, 10)
+    labels = asked.select("query_id", "label").distinct()
+    many = labels.join(nodes.groupBy("label").agg(F.countDistinct("node_id").alias("n")), "label").groupBy("query_id").agg(F.sum("n").alias("n"))
+    hits = search.vector_top_k(asked.select("query_id", "vector"), nodes, 20).where("rank < 10")
+    good = hits.join(labels, "query_id").join(nodes.select("node_id", "label"), ["node_id", "label"], "left_semi")
+    return metrics.counted_scores(good.select("query_id", "rank"), many, 10)
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,3 +127,13 @@ def test_nearest_rank_of_a_large_group(spark):
             want[kind] = (len(v), v[at - 1] if at < len(v) else None)
         assert {x["kind"]: (x["n"], x["value"]) for x in metrics.nearest_rank(df, q, "kind").collect()} == want
     assert metrics.nearest_rank(df.drop("kind"), 0.5).collect()[0]["n"] == 5043
+
+
+def test_relevant_nodes_are_counted_not_listed(spark):
+    """Scores from counts are those from lists, and the query forms no pair of a question and a relevant node."""
+    hits = spark.createDataFrame([(q, n, r) for q in (1, 2) for r, n in enumerate((3, 5, 8, 4))], "query_id long, node_id long, rank int")
+    relevant = spark.createDataFrame([(1, n) for n in (5, 4, 90, 91)] + [(2, 99), (3, 7)], "query_id long, node_id long")
+    many = relevant.groupBy("query_id").count().withColumnRenamed("count", "n")
+    good = hits.join(relevant, ["query_id", "node_id"], "left_semi").select("query_id", "rank")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(metrics.counted_scores(good, many, 3)) == rows(metrics.ranking_scores(hits, relevant, 3)) and many.count() == 3
