@@ -35,7 +35,7 @@ def _placed(batch: pa.RecordBatch) -> pa.RecordBatch:
 def positions(nodes: DataFrame) -> DataFrame:
     """(node_id, length, terms, places) of nodes (node_id, content); row-local. Store it where many questions are asked."""
     schema = T.StructType([nodes.schema["node_id"], T.StructField("length", T.LongType()), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("places", T.ArrayType(T.ArrayType(T.LongType())))])
-    return search._lowered(nodes).mapInArrow(lambda batches: map(_placed, batches), schema)
+    return search._lowered(nodes).mapInArrow(lambda batches: map(_placed, search._pieces(batches)), schema)
 
 
 def _occurrences(batch: pa.RecordBatch, terms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -23,8 +23,8 @@ from quillon.session import written
 
 #: Questions that are scored together, at most, and numbers (or terms times questions) that a block of them holds.
 BLOCK, CELLS = 4096, 1 << 23
-#: Scores that a task holds at once, about.
-SCORES = 1 << 22
+#: Scores that a task holds at once, about, and bytes of text that it takes apart at once, or one longer text.
+SCORES, TEXT = 1 << 22, 1 << 20
 
 
 def _top(hits: DataFrame, k: int) -> DataFrame:
@@ -59,6 +59,18 @@ class _Best:
         self.least[query[full]] = np.maximum(self.least[query[full]], score[order[full]])
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches cut into pieces of at most so many rows and, where they hold texts (lowered), of about TEXT bytes."""
+    for batch in batches:
+        size = np.cumsum(pc.binary_length(batch.column("lowered")).to_numpy(zero_copy_only=False)) if "lowered" in batch.schema.names else np.zeros(batch.num_rows)
+        a = 0
+        while a < batch.num_rows:
+            full = int(np.searchsorted(size, (size[a - 1] if a else 0) + TEXT, "right"))
+            b = min(max(full, a + 1), a + (rows or batch.num_rows))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def _hits(nodes: DataFrame, queries: DataFrame, blocks: Iterator[tuple[list, object]], score: Callable, k: int) -> DataFrame:
     """The hits (query_id, node_id, score, rank) of all blocks (ids, what `score` needs of them).
 
@@ -77,11 +89,9 @@ def _hits(nodes: DataFrame, queries: DataFrame, blocks: Iterator[tuple[list, obj
         def scan(batches: Iterator[pa.RecordBatch], sent=sent, n=n) -> Iterator[pa.RecordBatch]:
             best, kind = _Best(n, k), None
             step = max(1, SCORES // max(1, n))
-            for batch in batches:
-                kind = batch.schema.field("node_id").type
-                for a in range(0, batch.num_rows, step):
-                    some = batch.slice(a, step)
-                    best.add(score(sent.value, some), np.array(some.column("node_id").to_pylist()))
+            for some in _pieces(batches, step):
+                kind = some.schema.field("node_id").type
+                best.add(score(sent.value, some), np.array(some.column("node_id").to_pylist()))
             if best.node is not None:
                 for a in range(0, len(best.query), 10_000):
                     rows = slice(a, a + 10_000)
@@ -196,7 +206,7 @@ def postings(nodes: DataFrame) -> DataFrame:
     Row-local; where many blocks of questions are asked, store it, and searches read it instead of the texts.
     """
     schema = T.StructType([nodes.schema["node_id"], T.StructField("length", T.LongType()), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType()))])
-    return _lowered(nodes).mapInArrow(lambda batches: map(_counted, batches), schema)
+    return _lowered(nodes).mapInArrow(lambda batches: map(_counted, _pieces(batches)), schema)
 
 
 def _term_blocks(queries: DataFrame) -> Iterator[tuple[list, list[set[str]]]]:
@@ -254,7 +264,7 @@ def _statistics(source: DataFrame, terms: list[str]) -> tuple[int, int, np.ndarr
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = pa.array(sent.value, pa.string())
         df = np.zeros(len(wanted) + 2, np.int64)
-        for batch in map(_counted, batches):
+        for batch in map(_counted, _pieces(batches)):
             df[2:] += np.bincount(_found(batch, wanted)[1], minlength=len(wanted))
             df[:2] += batch.num_rows, batch.column("length").to_numpy(zero_copy_only=False).sum()
         held = np.flatnonzero(df)

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from quillon.operators import search
@@ -74,3 +75,19 @@ def test_vector_search(spark, monkeypatch, block):
     near = {q: {i: of[q][i] for _, i in sorted((-s, i) for i, s in m.items())[:20]} for q, m in same.items()}
     assert rows(search.quantised_top_k(a, n, 5)) == best(near, 5)
     assert search.vector_top_k(a.limit(0), n, 5).count() == 0 and search.vector_top_k(a, n.limit(0), 5).count() == 0
+
+
+def test_texts_are_taken_apart_in_pieces(spark, monkeypatch):
+    """What a task holds does not grow with its batches; postings and counts are the same by any piece."""
+    monkeypatch.setattr(search, "TEXT", 40)
+    lowered = pa.array(["a b a", "", "word " * 30, "b c"] * 5 + [None])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(21)), pa.array([x.as_py() or "" for x in lowered])], names=["node_id", "lowered"])
+    pieces = list(search._pieces(iter([batch, batch.slice(0, 0), batch.slice(3, 6)]), 4))
+    assert all(p.num_rows == 1 or (p.num_rows <= 4 and sum(len(x.as_py()) for x in p.column("lowered")) <= 40) for p in pieces)
+    assert [i for p in pieces for i in p.column("node_id").to_pylist()] == [*range(21), *range(3, 9)]
+    whole = search._counted(batch)
+    parts = [r for p in map(search._counted, search._pieces(iter([batch]))) for r in p.to_pylist()]
+    plain = lambda r: (r["node_id"], r["length"], sorted(zip(r["terms"], r["counts"])))
+    assert list(map(plain, parts)) == list(map(plain, whole.to_pylist()))
+    counted = search._pieces(iter([whole]), 5)
+    assert [p.num_rows for p in counted] == [5, 5, 5, 5, 1]
