@@ -35,6 +35,8 @@ HEDGES = {
     "pl": ("nie jestem pewien", "nie jestem pewna", "nie wiem", "trudno powiedzieć", "trudno jednoznacznie", "niejasne", "nie jest jasne", "nie da się jednoznacznie stwierdzić", "brak pewności", "nie sposób ustalić"),
 }
 
+#: Words that may be identifiers: they hold a digit, a low line or a capital after a small letter. Looked for from a word's begin alone.
+MARKED = r"(?<!\S)(?=\S*(?:\d|_|[a-z][A-Z]))\S+"
 #: Quotes, characters stripped from tokens, and the shapes of identifiers and amounts.
 QUOTED = r'"([^"]*)"|“([^”]*)”|`([^`]*)`'
 STRIP = r".,;:!?()\[\]{}'\"§"
@@ -69,7 +71,8 @@ def anchors(text: Column, entities: Sequence[str] = ()) -> Column:
     if entities:
         pattern = r"(?<![A-Za-z0-9_])(?:" + "|".join(re.escape(e) for e in sorted(entities, key=len, reverse=True)) + r")(?![A-Za-z0-9_])"
         named, rest = placed(rest, pattern, "entity", lambda m: m), blank(rest, pattern)
-    token = placed(rest, r"\S+", "identifier", lambda m: F.regexp_replace(m, f"^[{STRIP}]+|[{STRIP}]+$", ""))
+    # The text without what was taken is made once; of its words only those that may be identifiers are placed and looked at.
+    token = arrays.let(rest, lambda r: placed(r, MARKED, "identifier", lambda m: F.regexp_replace(m, f"^[{STRIP}]+|[{STRIP}]+$", "")))
     shaped = F.filter(token, lambda x: (x["text"] != "") & _identifier(x["text"]))
     everything = F.array_sort(F.concat(quoted, named, shaped))
     # The first of each text: equal texts stand together by place, and a new text begins where the one before differs.

@@ -39,3 +39,9 @@ def test_anchors_of_a_text_with_very_many(spark):
     (found,) = df.select(route.anchors(F.col("text")).alias("a")).collect()
     assert time.perf_counter() - began < 30
     assert [a["text"] for a in found["a"][:3]] == ["id_0", "id_1", "id_2"] and len(found["a"]) == 50_000
+
+
+def test_only_words_that_may_be_identifiers_are_placed(spark):
+    text = "plain Words-here, fooBar x1 (a_b) §12 1.2.3 ąBc " + "z" * 3000 + " end9"
+    found = spark.createDataFrame([(text,)], "text string").select(F.regexp_extract_all("text", F.lit(route.MARKED), F.lit(0))).first()[0]
+    assert found == ["fooBar", "x1", "(a_b)", "§12", "1.2.3", "end9"]
