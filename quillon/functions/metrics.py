@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -171,16 +172,33 @@ def paired(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("metric").agg(F.count("*").alias("n"), F.round(F.avg(F.col("y") - F.col("x")), 9).alias("mean"), F.count_if(F.col("x") != F.col("y")).alias("differing"))
 
 
+#: Draws that are read from the stream at once, about.
+DRAWS = 1 << 20
+
+
+def _resamples(data: str, n: int, resamples: int) -> Iterator[np.ndarray]:
+    """Places drawn for the resamples of n values, some resamples (rows) at a time; only the stream of bytes is held whole."""
+    room = (1 << 32) // n * n
+    raw = np.frombuffer(hashlib.shake_256(data.encode()).digest(resamples * n * 5), ">u4")
+    rest = np.empty(0, np.int64)
+    for a in range(0, len(raw), max(DRAWS, n)):
+        some = raw[a : a + max(DRAWS, n)].astype(np.int64)
+        rest = np.concatenate((rest, some[some < room] % n))
+        rows = min(len(rest) // n, resamples)
+        if rows:
+            yield rest[: rows * n].reshape(rows, n)
+        rest, resamples = rest[rows * n :], resamples - rows
+        if not resamples:
+            return
+
+
 def bootstrap_interval(differences: list[float], resamples: int = 2000) -> tuple[float, float] | None:
     """The middle 95 % of resampled means; draws come from SHAKE-256 of the data, so equal data give equal bounds."""
     n = len(differences)
     if n < 2:
         return None
-    seed = hashlib.shake_256(",".join(repr(float(x)) for x in differences).encode())
-    room = (1 << 32) // n * n
-    raw = np.frombuffer(seed.digest(resamples * n * 5), ">u4").astype(np.int64)
-    picks = raw[raw < room][: resamples * n] % n
-    means = np.sort(np.asarray(differences, float)[picks.reshape(resamples, n)].mean(axis=1))
+    values = np.asarray(differences, float)
+    means = np.sort(np.concatenate([values[picks].mean(axis=1) for picks in _resamples(",".join(repr(float(x)) for x in differences), n, resamples)]))
     return float(np.quantile(means, 0.025)), float(np.quantile(means, 0.975))
 
 
@@ -272,11 +290,9 @@ def pooled_interval(sums: list[float], counts: list[int], resamples: int = 2000)
     n = len(sums)
     if n < 2 or not sum(counts):
         return None
-    seed = hashlib.shake_256(",".join(f"{float(x)!r}/{c}" for x, c in zip(sums, counts)).encode())
-    room = (1 << 32) // n * n
-    raw = np.frombuffer(seed.digest(resamples * n * 5), ">u4").astype(np.int64)
-    picks = (raw[raw < room][: resamples * n] % n).reshape(resamples, n)
-    top, low = np.asarray(sums, float)[picks].sum(axis=1), np.asarray(counts, float)[picks].sum(axis=1)
+    x, y = np.asarray(sums, float), np.asarray(counts, float)
+    drawn = [(x[picks].sum(axis=1), y[picks].sum(axis=1)) for picks in _resamples(",".join(f"{float(s)!r}/{c}" for s, c in zip(sums, counts)), n, resamples)]
+    top, low = (np.concatenate(part) for part in zip(*drawn))
     ratios = np.sort(top[low > 0] / low[low > 0])
     return float(np.quantile(ratios, 0.025)), float(np.quantile(ratios, 0.975))
 

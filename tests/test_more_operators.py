@@ -137,3 +137,18 @@ def test_relevant_nodes_are_counted_not_listed(spark):
     good = hits.join(relevant, ["query_id", "node_id"], "left_semi").select("query_id", "rank")
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(metrics.counted_scores(good, many, 3)) == rows(metrics.ranking_scores(hits, relevant, 3)) and many.count() == 3
+
+
+def test_resamples_are_drawn_in_parts(monkeypatch):
+    """Only the stream is held whole, and the bounds are the same by any part."""
+    import tracemalloc
+
+    data = [float(i % 7) - 2.5 for i in range(1500)]
+    tracemalloc.start()
+    whole = metrics.bootstrap_interval(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pooled = metrics.pooled_interval(data[:50], [i % 3 for i in range(50)])
+    monkeypatch.setattr(metrics, "DRAWS", 100)
+    assert metrics.bootstrap_interval(data) == whole and metrics.pooled_interval(data[:50], [i % 3 for i in range(50)]) == pooled
+    assert peak < 4 * 2000 * 1500 * 5
