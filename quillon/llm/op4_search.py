@@ -3,12 +3,14 @@
 A shard lies in the order of its documents' likeness, so that the greatest scores of a block's terms are near those of
 its documents. A query takes the blocks of a shard in the order of their bounds, some at a time; its k-th best score
 rises with each turn, and blocks whose bound is below it (and the whole shard, where its terms' greatest scores are)
-are not scored.
+are not scored. It begins with what a part of the shards, searched ahead, gives over all of them. Blocks are scored in
+single precision, and what may be among the k best in double precision.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,14 @@ K1, B = 1.2, 0.75
 FAN = 64
 #: Documents whose postings share a maximum, and the blocks that a query takes in its first turn in a shard.
 BLOCK, FIRST = 64, 8
-#: Documents of a shard, at most, and queries that are scored together.
-SHARD, TOGETHER = 5000, 128
+#: Documents of a shard, at most, queries that are scored together, and postings that these read at once, about.
+SHARD, TOGETHER, POSTINGS = 5000, 512, 1 << 16
+#: Terms that one of so many documents of a shard has are multiplied as a matrix: the most frequent, so many at most.
+COMMON, MOST_COMMON = 32, 2048
+#: One of so many shards is searched ahead; the k-th best of these is the least that counts in any shard.
+AHEAD = 16
 #: Query terms that are searched for in one pass over the index, about, and queries, at most.
-PASS_TERMS, PASS_QUERIES = 1 << 20, 1 << 15
+PASS_TERMS, PASS_QUERIES = 1 << 22, 1 << 15
 #: Most frequent terms of a shard by which its documents are put in order.
 ORDERING_TERMS = 128
 #: Decimals of a score; ranks go by the rounded score, then by id.
@@ -104,6 +110,11 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
             yield {k: np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in _ARRAYS.items()}
 
 
+def _cuts(values: np.ndarray) -> list[int]:
+    """Where runs of equal values begin, and their end."""
+    return [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)] if len(values) else [0]
+
+
 def _spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All positions of the ranges, one after the other."""
     n = ends - starts
@@ -111,58 +122,73 @@ def _spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class _Shard:
-    """A shard's postings with their scores under given global statistics, and the greatest of every (term, block).
+    """A shard's postings with their scores under given global statistics, and the greatest of every (common term, block).
 
-    `idf` has the wanted terms' weights; all other postings count nothing. Terms of a sixteenth of the documents or
-    more are held as rows of a matrix, the others as lists with a cell for each block.
+    `idf` has the wanted terms' weights; all other postings count nothing. Common terms are columns of a matrix that is
+    multiplied block by block, the others lists that are added up for all queries of a batch together.
     """
 
     def __init__(self, arrays: dict[str, np.ndarray], mean: float, at: np.ndarray, idf: np.ndarray) -> None:
-        self.ids, self.terms, self.starts, self.docs = (arrays[k] for k in ("ids", "terms", "starts", "docs"))
-        n = len(self.ids)
+        self.ids, self.starts, self.docs = (arrays[k] for k in ("ids", "starts", "docs"))
+        n, many = len(self.ids), np.diff(self.starts)
         tf = arrays["counts"].astype(float)
-        weight = np.zeros(len(self.terms))
+        weight = np.zeros(len(many))
         weight[at] = idf
-        self.scores = np.repeat(weight, np.diff(self.starts)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * arrays["lengths"] / mean)[self.docs])
-        block = self.docs // BLOCK
-        head = np.concatenate(([True], block[1:] != block[:-1])) if len(block) else np.empty(0, bool)
-        head[self.starts[:-1]] = True
-        self.cells = np.append(np.flatnonzero(head), len(block))
-        self.cell_block = block[self.cells[:-1]]
-        self.cell_most = np.maximum.reduceat(self.scores, self.cells[:-1]) if len(block) else np.empty(0)
-        self.term_cells = np.searchsorted(self.cells, self.starts)
-        self.term_most = np.maximum.reduceat(self.scores, self.starts[:-1]) if len(block) else np.empty(0)
+        self.scores = np.repeat(weight, many) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * arrays["lengths"] / mean)[self.docs])
+        self.term_most = np.maximum.reduceat(self.scores, self.starts[:-1]) if len(self.docs) else np.empty(0)
         self.blocks = -(-n // BLOCK)
-        common = np.flatnonzero((np.diff(self.starts) * 16 >= n) & (weight > 0))
-        self.row = np.full(len(self.terms), -1)
-        self.row[common] = np.arange(len(common))
-        self.dense = np.zeros((self.blocks, len(common), BLOCK))
-        for r, t in enumerate(common.tolist()):
-            a, b = self.starts[t], self.starts[t + 1]
-            self.dense[block[a:b], r, self.docs[a:b] % BLOCK] = self.scores[a:b]
-        self.dense_most = self.dense.max(axis=2).T
+        common = np.flatnonzero((many * COMMON >= n) & (weight > 0))
+        if len(common) > MOST_COMMON:
+            common = np.sort(common[np.argsort(-many[common], kind="stable")[:MOST_COMMON]])
+        self.column = np.full(len(many), -1)
+        self.column[common] = np.arange(len(common))
+        near = _spread(self.starts[common], self.starts[common + 1])
+        self.exact = np.zeros((self.blocks * BLOCK, len(common)))
+        self.exact[self.docs[near], np.repeat(np.arange(len(common)), many[common])] = self.scores[near]
+        self.dense = self.exact.astype(np.float32)
+        self.dense_most = np.ascontiguousarray(self.dense.reshape(self.blocks, BLOCK, len(common)).max(axis=1).T)
+        #: By what share a sum of so many single-precision numbers, none below zero, may be off, twice over.
+        self.off = 2.0**-22 * (len(common) + 4)
         #: Blocks that were scored for some query, and those that a query has terms in.
         self.scored = self.there = 0
 
-    def search(self, queries: list[np.ndarray], held: list[list[tuple[float, int]]], k: int) -> list[list[tuple[float, int]]]:
-        """For each query (places of its terms) the k best of those held and of this shard, as (-score, id)."""
-        asked = np.zeros((len(queries), len(self.dense_most)))
-        rare = []
+    def rare(self, who: np.ndarray, terms: np.ndarray, n: int) -> np.ndarray:
+        """Of n queries (`who` ascends) what the given terms add to the score of each document."""
+        width = self.blocks * BLOCK
+        out = np.zeros((n, width))
+        start, size = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
+        upto = np.concatenate(([0], np.cumsum(np.bincount(who, size, n)))).astype(np.int64)
+        first = np.searchsorted(who, np.arange(n + 1))
+        a = 0
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] + POSTINGS, "right")) - 1)
+            own = slice(first[a], first[b])
+            near = _spread(start[own], start[own] + size[own])
+            if len(near):
+                out[a:b] = np.bincount(np.repeat((who[own] - a) * width, size[own]) + self.docs[near], self.scores[near], (b - a) * width).reshape(b - a, width)
+            a = b
+        return out
+
+    def search(self, queries: list[np.ndarray], held: list[list[tuple[float, int]]], k: int, floor: np.ndarray | None = None) -> list[list[tuple[float, int]]]:
+        """For each query (places of its terms) the k best of those held and of this shard, as (-score, id).
+
+        `floor` has scores that the k-th best reaches in any case; what is below may be left out.
+        """
+        n = len(queries)
         least = np.array([-h[-1][0] if len(h) == k else 0.0 for h in held])
-        alive = np.array([self.term_most[found].sum() >= x - 2 * 10.0**-PLACES for found, x in zip(queries, least.tolist())], bool)
-        for i, found in enumerate(queries):
-            rows = self.row[found]
-            asked[i, rows[rows >= 0]] = 1
-            t = found[rows < 0]
-            rare.append(_spread(self.term_cells[t], self.term_cells[t + 1]))
-        bound = asked @ self.dense_most
-        for i, cells in enumerate(rare):
-            bound[i] += np.bincount(self.cell_block[cells], self.cell_most[cells], self.blocks)
+        least = least if floor is None else np.maximum(least, floor)
+        who, terms = np.repeat(np.arange(n), [len(q) for q in queries]), np.concatenate(queries)
+        alive = np.bincount(who, self.term_most[terms], n) >= least - 2 * 10.0**-PLACES
+        who, terms = who[alive[who]], terms[alive[who]]
+        column = self.column[terms]
+        common = column >= 0
+        asked = np.zeros((n, len(self.dense_most)), np.float32)
+        asked[who[common], column[common]] = 1
+        scores = self.rare(who[~common], terms[~common], n).reshape(n, self.blocks, BLOCK)
+        bound = (asked @ self.dense_most + scores.max(axis=2)) * (1 + self.off)
         self.there += int((bound > 0).sum())
-        bound[~alive] = 0
         order = np.argsort(-bound, axis=1, kind="stable")
         bound = np.take_along_axis(bound, order, axis=1)
-        scores = np.zeros((len(queries), self.blocks, BLOCK))
         out = list(held)
         at, step = 0, FIRST
         while at < self.blocks:
@@ -171,21 +197,30 @@ class _Shard:
                 break
             block = order[who, at + turn]
             self.scored += len(who)
+            about = scores[who, block]
             by = np.argsort(block, kind="stable")
-            cut = [0, *(np.flatnonzero(np.diff(block[by])) + 1).tolist(), len(by)]
+            cut = _cuts(block[by])
+            for a, b in zip(cut, cut[1:]):
+                first = block[by[a]] * BLOCK
+                about[by[a:b]] += asked[who[by[a:b]]] @ self.dense[first : first + BLOCK].T
+            need = least.copy()
+            cut = _cuts(who)
             for a, b in zip(cut, cut[1:]):
-                scores[who[by[a:b]], block[by[a]]] = asked[who[by[a:b]]] @ self.dense[block[by[a]]]
-            mine = np.zeros((len(queries), self.blocks), bool)
-            mine[who, block] = True
-            for i in np.unique(who).tolist():
-                cells = rare[i][mine[i][self.cell_block[rare[i]]]]
-                own = scores[i].ravel()[: len(self.ids)]
-                if len(cells):
-                    near = _spread(self.cells[cells], self.cells[cells + 1])
-                    own += np.bincount(self.docs[near], self.scores[near], len(self.ids))
-                out[i] = sorted(held[i] + self.best(own, k, least[i]))[:k]
+                if need[who[a]] == 0:
+                    need[who[a]] = np.partition(about[a:b].ravel(), -k)[-k] if (b - a) * BLOCK >= k else 0
+            pair, place = np.nonzero(about >= np.maximum(need * (1 - self.off) ** 2 - 2 * 10.0**-PLACES, 10.0**-12)[who][:, None])
+            query, doc = who[pair], block[pair] * BLOCK + place
+            score = scores[query, block[pair], place]
+            for a in range(0, len(query), 1024):
+                score[a : a + 1024] += (self.exact[doc[a : a + 1024]] * asked[query[a : a + 1024]]).sum(axis=1)
+            score = np.round(score, PLACES)
+            query, doc, score = query[score > 0], doc[score > 0], score[score > 0]
+            ids, score, cut = self.ids[doc].tolist(), (-score).tolist(), _cuts(query)
+            for a, b in zip(cut, cut[1:]):
+                i = int(query[a])
+                out[i] = sorted(out[i] + list(zip(score[a:b], ids[a:b])))[:k]
                 if len(out[i]) == k:
-                    least[i] = -out[i][-1][0]
+                    least[i] = max(least[i], -out[i][-1][0])
             at, step = at + step, 2 * step
         return out
 
@@ -223,14 +258,20 @@ def _passes(queries: DataFrame, most: int) -> Iterator[tuple[list[int], list[np.
         yield ids, terms
 
 
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def search(queries: DataFrame, indexed: DataFrame, k: int, *, pass_terms: int = PASS_TERMS) -> DataFrame:
     """(query_id, rank, doc_id, score): the k documents of positive score that score highest, exactly.
 
     queries has (query_id, text); each distinct term of the whole text counts once. Score: the sum over terms of
     ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean length)), rounded to
     six places; equal scores rank by id. Queries are taken in passes of bounded size, each a scan of the index
-    that counts df over all shards and one that keeps each task's k best of a query: the sum of a block's term
-    maxima bounds its documents, and blocks (or whole shards) below the k-th score so far are not scored. A query that is null, empty
+    that counts df over all shards, one over a part of the shards, whose k-th best of a query is the least that can
+    count, and one that keeps each task's k best that reach it: the sum of a block's term maxima bounds its documents,
+    and blocks (or whole shards) below the k-th score so far are not scored. A query that is null, empty
     or matches nothing has no rows; repeated queries have theirs once each by id; a null document id shows as -1.
     """
     spark = indexed.sparkSession
@@ -274,8 +315,9 @@ def search(queries: DataFrame, indexed: DataFrame, k: int, *, pass_terms: int =
         places = [np.searchsorted(wanted, t).astype(np.int32) for t in terms]
         asked = spark.sparkContext.broadcast((ids, places, wanted, idf))
 
-        def best(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+        def best(batches: Iterator[pa.RecordBatch], floors=None, asked=asked) -> Iterator[pa.RecordBatch]:
             ids, places, wanted, idf = asked.value
+            floor = np.zeros(len(ids)) if floors is None else floors.value
             held: list[list[tuple[float, int]]] = [[] for _ in ids]
             for arrays in _shards(batches):
                 if not len(arrays["terms"]):
@@ -286,19 +328,22 @@ def search(queries: DataFrame, indexed: DataFrame, k: int, *, pass_terms: int =
                 here = [(i, at[p[there[p]]]) for i, p in enumerate(places)]
                 here = [(i, found) for i, found in here if len(found)]
                 for a in range(0, len(here), TOGETHER):
-                    some = here[a : a + TOGETHER]
-                    for (i, _), hits in zip(some, s.search([found for _, found in some], [held[i] for i, _ in some], k)):
+                    who = [i for i, _ in here[a : a + TOGETHER]]
+                    for i, hits in zip(who, s.search([found for _, found in here[a : a + TOGETHER]], [held[i] for i in who], k, floor[who])):
                         held[i] = hits
             rows = [(query_id, doc_id, -score) for query_id, h in zip(ids, held) for score, doc_id in h]
             for a in range(0, len(rows), 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 10_000]), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
 
-        found = written(indexed.mapInArrow(best, "query_id long, doc_id long, score double"), "hits")
+        hits = "query_id long, doc_id long, score double"
+        ahead = _ranked(indexed.where(F.crc32("ids") % AHEAD == 0).mapInArrow(best, hits), k).where(F.col("rank") == k)
+        reached = {r["query_id"]: r["score"] for r in ahead.select("query_id", "score").toLocalIterator()}
+        floors = spark.sparkContext.broadcast(np.array([reached.get(i, 0.0) for i in ids]))
+        found = written(indexed.mapInArrow(partial(best, floors=floors), hits), "hits")
         out = found if out is None else out.union(found)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    return _ranked(out, k).select("query_id", "rank", "doc_id", "score")
 
 
 def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,37 @@ def test_counts_add_up_level_by_level(spark, monkeypatch):
     want = sorted(map(tuple, op4_search.search(queries, indexed, 5).collect()))
     monkeypatch.setattr(op4_search, "FAN", 2)
     assert sorted(map(tuple, op4_search.search(queries, indexed, 5).collect())) == want and want
+
+
+def test_only_what_counts_over_all_shards_is_kept(spark, monkeypatch):
+    """Tasks keep no document that cannot be among a query's k best of all shards; what they keep has all of these."""
+    monkeypatch.setattr(op4_search, "SHARD", 25)
+    monkeypatch.setattr(op4_search, "AHEAD", 2, raising=False)
+    kept = []
+
+    def written(df, label, real=op4_search.written):
+        out = real(df, label)
+        if label == "hits":
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(op4_search, "written", written)
+    r = random.Random(7)
+    docs = [(i, " ".join(f"w{int(r.paretovariate(0.7))}" for _ in range(r.randint(1, 60)))) for i in range(2000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(16)
+    queries = docs[::100]
+    got = sorted(map(tuple, op4_search.search(spark.createDataFrame(queries, "query_id long, text string"), op4_search.index(d), 5).collect()))
+    assert got == sorted(brute(docs, queries, 5), key=lambda x: x[:2])
+    assert kept[0] < 16 * len(queries) * 5 / 2
+
+
+def test_scores_in_single_precision_lose_nothing(spark):
+    """Documents whose scores differ in the last places, or not at all, are ranked as by brute force."""
+    r = random.Random(9)
+    words = [f"v{i}" for i in range(40)]
+    docs = [(i, " ".join(r.sample(words, 30) + ["and"] * (i % 7))) for i in range(600)]
+    docs += [(1000 + i, docs[i][1]) for i in range(0, 600, 3)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    queries = docs[::50]
+    got = sorted(map(tuple, op4_search.search(spark.createDataFrame(queries, "query_id long, text string"), op4_search.index(d), 10).collect()))
+    assert got == sorted(brute(docs, queries, 10), key=lambda x: x[:2])
