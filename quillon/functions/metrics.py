@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import hashlib
+import mmap
+import os
+import tempfile
+import threading
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
@@ -172,17 +179,63 @@ def paired(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("metric").agg(F.count("*").alias("n"), F.round(F.avg(F.col("y") - F.col("x")), 9).alias("mean"), F.count_if(F.col("x") != F.col("y")).alias("differing"))
 
 
-#: Draws that are read from the stream at once, about.
-DRAWS = 1 << 20
+#: Draws that are read from the stream at once, about; bytes of it that are held, longer ones go by way of a file.
+DRAWS, HELD = 1 << 20, 1 << 26
+
+
+def _laid(data: bytes, length: int, f: BinaryIO) -> bool:
+    """Lay SHAKE-256 of data in an empty file; False where there is no room, or not OpenSSL's own function, which writes where it is told.
+
+    hashlib gives the bytes only as one object. The file is mapped, and what is written of it is let go meanwhile.
+    """
+    try:
+        lib = ctypes.CDLL(ctypes.util.find_library("crypto"))
+        calls = [getattr(lib, f"EVP_{n}") for n in ("MD_CTX_new", "shake256", "DigestInit_ex", "DigestUpdate", "DigestFinalXOF", "MD_CTX_free")]
+        os.posix_fallocate(f.fileno(), 0, length)
+    except (OSError, AttributeError, TypeError):
+        return False
+    p, size = ctypes.c_void_p, ctypes.c_size_t
+    for call, gives, takes in zip(calls, (p, p, ctypes.c_int, ctypes.c_int, ctypes.c_int, None), ([], [], [p, p, p], [p, ctypes.c_char_p, size], [p, p, size], [p])):
+        call.restype, call.argtypes = gives, takes
+    new, shake, begin, update, final, free = calls
+    done = threading.Event()
+
+    def let_go() -> None:
+        while not done.wait(0.01):
+            room.madvise(mmap.MADV_DONTNEED)
+
+    with mmap.mmap(f.fileno(), length) as room:
+        at = (ctypes.c_char * length).from_buffer(room)
+        context, letting = new(), threading.Thread(target=let_go)
+        letting.start()
+        try:
+            return bool(context) and begin(context, shake(), None) == 1 and update(context, data, len(data)) == 1 and final(context, ctypes.addressof(at), length) == 1
+        finally:
+            done.set()
+            letting.join()
+            free(context)
+            del at
+
+
+def _stream(data: bytes, length: int, part: int) -> Iterator[bytes]:
+    """So many bytes of SHAKE-256 of data, a part at a time."""
+    if length > HELD:
+        with tempfile.TemporaryFile() as f:
+            if _laid(data, length, f):
+                f.seek(0)
+                yield from iter(lambda: f.read(part), b"")
+                return
+    raw = memoryview(hashlib.shake_256(data).digest(length))
+    for a in range(0, length, part):
+        yield raw[a : a + part]
 
 
 def _resamples(data: str, n: int, resamples: int) -> Iterator[np.ndarray]:
-    """Places drawn for the resamples of n values, some resamples (rows) at a time; only the stream of bytes is held whole."""
+    """Places drawn for the resamples of n values, some resamples (rows) at a time."""
     room = (1 << 32) // n * n
-    raw = np.frombuffer(hashlib.shake_256(data.encode()).digest(resamples * n * 5), ">u4")
     rest = np.empty(0, np.int64)
-    for a in range(0, len(raw), max(DRAWS, n)):
-        some = raw[a : a + max(DRAWS, n)].astype(np.int64)
+    for part in _stream(data.encode(), resamples * n * 5, 4 * max(DRAWS, n)):
+        some = np.frombuffer(part, ">u4").astype(np.int64)
         rest = np.concatenate((rest, some[some < room] % n))
         rows = min(len(rest) // n, resamples)
         if rows:

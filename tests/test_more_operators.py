@@ -152,3 +152,23 @@ def test_resamples_are_drawn_in_parts(monkeypatch):
     monkeypatch.setattr(metrics, "DRAWS", 100)
     assert metrics.bootstrap_interval(data) == whole and metrics.pooled_interval(data[:50], [i % 3 for i in range(50)]) == pooled
     assert peak < 4 * 2000 * 1500 * 5
+
+
+def test_a_long_stream_is_not_held(monkeypatch):
+    """A stream beyond what is held goes by way of a file: the same bytes and bounds, a small part in memory."""
+    import hashlib
+    import tracemalloc
+
+    data = [float(i % 7) - 2.5 for i in range(1500)]
+    whole = metrics.bootstrap_interval(data)
+    assert b"".join(metrics._stream(b"seed", 10_001, 4096)) == hashlib.shake_256(b"seed").digest(10_001)
+    monkeypatch.setattr(metrics, "HELD", 1000)
+    monkeypatch.setattr(metrics, "DRAWS", 10_000)
+    tracemalloc.start()
+    by_file = metrics.bootstrap_interval(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert by_file == whole and peak < 2000 * 1500 * 5 / 4
+    assert b"".join(metrics._stream(b"seed", 3_000_001, 4096)) == hashlib.shake_256(b"seed").digest(3_000_001)
+    monkeypatch.setattr(metrics.ctypes.util, "find_library", lambda name: "no such library")
+    assert metrics.bootstrap_interval(data) == whole
